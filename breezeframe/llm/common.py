@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Executors need no copy of this package: its functions travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__package__])
+
 #: A word: a run of characters other than the space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat, mixing
+from . import chat, media, mixing, packing, quality_rules
 
 QUERIES = {
+    "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_mixing": mixing.op3_mixing,
+    "op7_packing": packing.op7_packing,
     "op9_chat": chat.op9_chat,
+    "op10_media": media.op10_media,
 }
 
 ORACLE_SQL = {
+    "op2_quality_rules": quality_rules.OP2_SQL,
     "op3_mixing": mixing.OP3_SQL,
     "op9_chat": chat.OP9_SQL,
 }
