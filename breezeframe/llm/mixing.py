@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small_or_shuffled, table, word_count
+from .common import small_or_shuffled, stored, table, word_count
 
 #: Source weights in order of source name, repeating.
 SOURCE_WEIGHTS = (5, 2, 1)
@@ -86,7 +86,8 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
         .withColumn("_fine", F.floor(F.log2("_key") * (COARSE * FINE)))
         .withColumn("_coarse", F.floor(F.col("_fine") / FINE))
     )
-    fine = keyed.groupBy("_src", "_coarse", "_fine").agg(F.sum("size").alias("_n"))
+    # A small histogram, stored so that the texts are read only once more, for the documents themselves.
+    fine = stored(keyed.groupBy("_src", "_coarse", "_fine").agg(F.sum("size").alias("_n")), "key-bins")
     coarse = fine.groupBy("_src", "_coarse").agg(F.sum("_n").alias("_n"))
     targets = source_targets(coarse.groupBy("_src").agg(F.sum("_n").alias("source_size")))
     below = lambda by, o: F.sum("_n").over(W.partitionBy(*by).orderBy(o).rowsBetween(W.unboundedPreceding, -1))
