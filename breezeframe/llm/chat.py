@@ -80,7 +80,7 @@ def path_members(leaves: DataFrame, ups: list[DataFrame]) -> DataFrame:
     """(leaf, id): every message between each leaf and its root, both included."""
     members = leaves.select("leaf", F.col("leaf").alias("id"))
     for up in ups:
-        members = members.unionByName(members.join(up, "id").select("leaf", F.col("anc").alias("id")))
+        members = stored(members.unionByName(members.join(up, "id").select("leaf", F.col("anc").alias("id"))), "reply-members")
     return members
 
 
