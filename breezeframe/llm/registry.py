@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, media, mixing, packing, quality_rules
+from . import chat, media, minhash, mixing, packing, quality_gam, quality_rules
 
 QUERIES = {
+    "op1_near_duplicates": minhash.op1_near_duplicates,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_mixing": mixing.op3_mixing,
+    "op6_quality": quality_gam.op6_quality,
     "op7_packing": packing.op7_packing,
     "op9_chat": chat.op9_chat,
     "op10_media": media.op10_media,
