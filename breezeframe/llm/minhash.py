@@ -139,7 +139,7 @@ def components(edges: DataFrame) -> DataFrame:
         if roots is None:
             roots = point
         else:
-            moved = roots.join(point.withColumnsRenamed({"id": "root", "root": "_next"}), "root", "left").select("id", F.coalesce("_next", "root").alias("root"))
+            moved = roots.join(point.select(F.col("id").alias("root"), F.col("root").alias("_next")), "root", "left").select("id", F.coalesce("_next", "root").alias("root"))
             roots = stored(moved.unionByName(point.join(roots, "id", "left_anti")), "roots")
         to = lambda c: point.select(F.col("id").alias(c), F.col("root").alias(f"_{c}"))
         edges = edges.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
