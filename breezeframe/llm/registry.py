@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, media, minhash, mixing, packing, quality_gam, quality_rules
+from . import chat, line_dedup, media, minhash, mixing, packing, quality_gam, quality_rules
 
 QUERIES = {
     "op1_near_duplicates": minhash.op1_near_duplicates,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_mixing": mixing.op3_mixing,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op6_quality": quality_gam.op6_quality,
     "op7_packing": packing.op7_packing,
     "op9_chat": chat.op9_chat,
@@ -17,5 +18,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_quality_rules": quality_rules.OP2_SQL,
     "op3_mixing": mixing.OP3_SQL,
+    "op4_line_dedup": line_dedup.OP4_SQL,
     "op9_chat": chat.OP9_SQL,
 }
