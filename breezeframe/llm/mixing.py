@@ -50,7 +50,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = SOURCE_WEIGHTS,
 
     With sources in ascending order of cap over weight, the capped ones are a
     prefix; each source compares its cap with the level that the words left
-    give to the weights left, so no loop is needed.
+    give to the weights left, so no loop is needed. Past the last capped source the
+    levels fall, so the highest of them is the one that holds.
     """
     order = W.orderBy("_src")
     by_ratio = W.orderBy("_ratio", "_src")
@@ -64,58 +65,63 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = SOURCE_WEIGHTS,
         .withColumn("_ratio", F.col("_cap") / F.col("_w"))
         .withColumn("_level", (F.sum("source_size").over(every) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_w").over(after))
         .withColumn("_capped", F.col("_ratio") <= F.col("_level"))
-        .withColumn("_final", F.min(F.when(~F.col("_capped"), F.col("_level"))).over(every))
+        .withColumn("_final", F.max(F.when(~F.col("_capped"), F.col("_level"))).over(every))
         .withColumn("target", F.when(F.col("_capped"), F.col("_cap")).otherwise(F.col("_w") * F.col("_final")))
         .select("_src", "source_size", "target")
     )
 
 
-def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """docs (doc_id, text, source and any other columns) with size, source_size, target and taken.
-
-    Columns of docs that clash with these four names are replaced.
-    """
-    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+def _mixed(docs: DataFrame, seed: str) -> DataFrame:
+    """docs with _mx_size, _mx_total, _mx_target and _mx_taken; other columns of docs are carried along."""
     src = F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1"))
     keyed = (
-        docs.select(*keep)
-        .withColumn("size", word_count(F.col("text")))
+        docs.withColumn("_mx_size", word_count(F.col("text")))
         .withColumn("_src", src)
-        .withColumn("_key", exponential_key(F.col("doc_id"), quality_weight(F.col("text"), F.col("size")), seed))
+        .withColumn("_key", exponential_key(F.col("doc_id"), quality_weight(F.col("text"), F.col("_mx_size")), seed))
         .withColumn("_tie", F.xxhash64("text"))
         .withColumn("_fine", F.floor(F.log2("_key") * (COARSE * FINE)))
         .withColumn("_coarse", F.floor(F.col("_fine") / FINE))
     )
     # A small histogram, stored so that the texts are read only once more, for the documents themselves.
-    fine = stored(keyed.groupBy("_src", "_coarse", "_fine").agg(F.sum("size").alias("_n")), "key-bins")
+    fine = stored(keyed.groupBy("_src", "_coarse", "_fine").agg(F.sum("_mx_size").alias("_n")), "key-bins")
     coarse = fine.groupBy("_src", "_coarse").agg(F.sum("_n").alias("_n"))
     targets = source_targets(coarse.groupBy("_src").agg(F.sum("_n").alias("source_size")))
     below = lambda by, o: F.sum("_n").over(W.partitionBy(*by).orderBy(o).rowsBetween(W.unboundedPreceding, -1))
     coarse = coarse.withColumn("_before", F.coalesce(below(["_src"], "_coarse"), F.lit(0))).drop("_n")
-    coarse = coarse.join(small_or_shuffled(targets), "_src")
+    coarse = coarse.join(small_or_shuffled(targets), "_src").withColumnsRenamed({"source_size": "_mx_total", "target": "_mx_target"})
     fine = fine.withColumn("_within", F.coalesce(below(["_src", "_coarse"], "_fine"), F.lit(0))).drop("_n")
     fine = fine.join(coarse, ["_src", "_coarse"]).withColumn("_start", F.col("_before") + F.col("_within")).drop("_before", "_within")
     by_key = W.partitionBy("_src", "_coarse", "_fine").orderBy("_key", "doc_id", "_tie").rowsBetween(W.unboundedPreceding, -1)
-    before = F.col("_start") + F.coalesce(F.sum("size").over(by_key), F.lit(0))
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    rest = F.floor("target") - F.col("_epochs") * F.col("source_size")
+    epochs = F.when(F.col("_mx_total") > 0, F.floor(F.col("_mx_target") / F.col("_mx_total"))).otherwise(F.lit(0))
+    room = F.floor("_mx_target") - F.col("_epochs") * F.col("_mx_total") - F.col("_before")
     return (
         keyed.join(fine, ["_src", "_coarse", "_fine"])
-        .withColumn("_before", before)
+        .withColumn("_before", F.col("_start") + F.coalesce(F.sum("_mx_size").over(by_key), F.lit(0)))
         .withColumn("_epochs", epochs)
-        .withColumn("taken", (F.col("_epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_before")))).cast("long"))
-        .select(*keep, "size", "source_size", "target", "taken")
+        .withColumn("_mx_taken", (F.col("_epochs") * F.col("_mx_size") + F.greatest(F.lit(0), F.least(F.col("_mx_size"), room))).cast("long"))
+        .select(*docs.columns, "_mx_size", "_mx_total", "_mx_target", "_mx_taken")
     )
 
 
+ADDED = {"size": "_mx_size", "source_size": "_mx_total", "target": "_mx_target", "taken": "_mx_taken"}
+
+
+def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """docs (doc_id, text, source and any other columns) with size, source_size, target and taken.
+
+    Columns of docs that clash with these four names are replaced.
+    """
+    keep = [c for c in docs.columns if c not in ADDED]
+    return _mixed(docs.select(*keep), seed).select(*keep, *[F.col(c).alias(name) for name, c in ADDED.items()])
+
+
 def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix as rows of docs: a document appears once for each time that it is taken whole.
 
     Where a target ends inside a document, it stays if at least half of its words are taken.
     """
-    out = mix(docs, seed)
-    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).otherwise(F.lit(0)).cast("int")
-    return out.withColumn("_times", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    times = F.when(F.col("_mx_size") > 0, F.floor(F.col("_mx_taken") / F.col("_mx_size") + F.lit(0.5))).otherwise(F.lit(0)).cast("int")
+    return _mixed(docs, seed).withColumn("_times", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +152,7 @@ s2 AS (
   FROM s1),
 s3 AS (
   SELECT source, source_size,
-         CASE WHEN ratio <= level THEN cap ELSE w * (SELECT min(level) FROM s2 WHERE ratio > level) END AS target
+         CASE WHEN ratio <= level THEN cap ELSE w * (SELECT max(level) FROM s2 WHERE ratio > level) END AS target
   FROM s2),
 e AS (
   SELECT source, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM s3),
