@@ -216,16 +216,15 @@ def _long_list_links(groups: DataFrame, roots: DataFrame, sets: DataFrame) -> Da
     return members.groupBy("hub", "block", "chunk").applyInArrow(block_links, "a long, b long")
 
 
-def linked_classes(docs: DataFrame, signed: DataFrame, size: int) -> DataFrame:
-    """(id, root) for every class of `signed` that is linked with another one."""
-    classes = signed.where("n_shingles > 0").groupBy("cid").agg(F.first("sig").alias("sig"))
+def linked_classes(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """(id, root) for every class (cid, doc_id, sig) that is linked with another one."""
     value = F.col("_v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
     key = F.shiftleft(F.col("_k").cast("long"), 32).bitwiseOR(value).alias("key")
     posts = classes.select("cid", F.posexplode("sig").alias("_k", "_v")).select("cid", key)
     shared = posts.join(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
     lists = shared.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("lists"), F.sum("n").alias("weight"))
     lists = stored(lists.where(F.size("lists") >= MATCHES), "posting-lists")
-    sigs = stored(signed.join(lists.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id")), "signatures")
+    sigs = stored(classes.join(lists.select("cid"), "cid", "left_semi"), "signatures")
     wanted = sigs.select("doc_id", "cid")
     texts = docs.select("doc_id", "text").join(small_or_shuffled(wanted.select("doc_id").distinct(), 200_000), "doc_id", "left_semi")
     sets = stored(texts.select("text").mapInArrow(_sets(size), "cid long, shingles array<long>").join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "shingle-sets")
@@ -252,10 +251,10 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, n_shingles, component_id, kept), one row a document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(docs.mapInArrow(_signatures(size), "doc_id long, n_shingles long, cid long, sig array<int>"), "signed")
-    roots = stored(linked_classes(docs, signed, size), "class-roots")
-    classes = signed.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("_least"))
-    classes = classes.join(roots.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    classes = stored(classes, "classes")
+    classes = stored(signed.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "classes")
+    roots = linked_classes(docs, classes, size)
+    classes = classes.select("cid", F.col("doc_id").alias("_least")).join(roots.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    classes = stored(classes, "class-roots")
     least = classes.groupBy("root").agg(F.min("_least").alias("component_id"))
     named = classes.select("cid", "root").join(least, "root").select("cid", "component_id")
     out = signed.select("doc_id", "n_shingles", "cid").where("n_shingles > 0").join(named, "cid").unionByName(signed.where("n_shingles = 0").select("doc_id", "n_shingles", "cid", F.col("doc_id").alias("component_id")))
