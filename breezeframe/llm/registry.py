@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, line_dedup, media, minhash, mixing, packing, quality_gam, quality_rules
+from . import chat, line_dedup, media, minhash, mixing, packing, pii, quality_gam, quality_rules
 
 QUERIES = {
     "op1_near_duplicates": minhash.op1_near_duplicates,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op6_quality": quality_gam.op6_quality,
     "op7_packing": packing.op7_packing,
+    "op8_pii": pii.op8_pii,
     "op9_chat": chat.op9_chat,
     "op10_media": media.op10_media,
 }
