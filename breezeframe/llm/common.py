@@ -18,6 +18,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__package__])
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,10 +37,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write the rows as a table in the shared folder and read them back."""
+    """Cut the lineage: write the rows as a table in the shared folder and read them back.
+
+    The write's shuffle files go as soon as it is done; nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,6 +70,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def worker_cache() -> dict:
+    """A dict that outlives a task where Spark uses a Python worker again."""
+    return sys.__dict__.setdefault("_breezeframe_worker_cache", {})
+
+
 def local_threads() -> None:
     """Keep native libraries in a task on that task's own core."""
     for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "RAYON_NUM_THREADS"):
