@@ -20,18 +20,19 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import local_threads, table
+from .common import local_threads, table, worker_cache
 
 MAX_LENGTH = 4096
 END_ID = 2
-#: Words in a worker's table before it starts anew.
-TABLE_WORDS = 400_000
+#: Words in a worker's table after which it starts anew.
+TABLE_WORDS = 600_000
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 #: Words for which joining with spaces changes nothing that the tokenizer sees: printable ASCII and Latin letters.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ſ]+")
@@ -71,29 +72,28 @@ class WordTable(dict):
     def ids(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def add(self, word: bytes, ids: list[int]) -> None:
-        k, n = len(self), len(ids)
-        while self.used + n > len(self.flat):
+    def add(self, words: list[bytes], ids: list[list[int]]) -> None:
+        k, n = len(self), np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(n.sum())
+        while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        if k >= len(self.starts):
+        while k + len(ids) > len(self.starts):
             self.starts, self.lengths = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.lengths))
-        self.flat[self.used : self.used + n] = ids
-        self.starts[k], self.lengths[k] = self.used, n
-        self.used += n
-        self[word] = k
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.starts[k : k + len(ids)] = self.used + np.cumsum(n) - n
+        self.lengths[k : k + len(ids)] = n
+        self.used += total
+        self.update(zip(words, range(k, k + len(ids))))
 
     def learn(self, words: set[bytes]) -> None:
         """Add words that are not in the table."""
-        if len(self) + len(words) > TABLE_WORDS:
-            self.reset()
         plain, rest = [], []
         for w in words:
             s = w.decode()
             (plain if PLAIN.fullmatch(s) else rest).append((w, s))
-        for w, s in rest:
-            self.add(w, self.ids(s))
+        self.add([w for w, _ in rest], [self.ids(s) for _, s in rest])
         parts = [self.cut.findall(s.lower()) for _, s in plain]
-        new = list({p for ps in parts for p in ps} - self.cuts.keys())
+        new = list({p for ps in parts for p in ps if p not in self.cuts})
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
             ids = np.array(self.ids(" ".join(some)), np.uint32)
@@ -102,21 +102,20 @@ class WordTable(dict):
                 self.cuts.update((p, self.ids(p)) for p in some)
             else:
                 self.cuts.update(zip(some, (x.tolist() for x in np.split(ids, last[:-1]))))
-        for (w, _), ps in zip(plain, parts):
-            self.add(w, [i for p in ps for i in self.cuts[p]])
-
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of a text, as the tokenizer gives them for the whole of it."""
-        if any(s in text for s in SPECIAL):
-            return np.array(self.ids(text), np.uint32)
-        words = text.encode("utf-8", "surrogatepass").split()
+        cuts = self.cuts
+        self.add([w for w, _ in plain], [cuts[ps[0]] if len(ps) == 1 else [i for p in ps for i in cuts[p]] for ps in parts])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, as the tokenizer gives them for the whole of it."""
+        if len(self) > TABLE_WORDS:
+            self.reset()
+        split = [None if any(s in t for s in SPECIAL) else t.encode("utf-8", "surrogatepass").split() for t in texts]
+        self.learn({w for words in split if words for w in words if w not in self})
+        return [np.array(self.ids(t), np.uint32) if words is None else self.look_up(words) for t, words in zip(texts, split)]
+
+    def look_up(self, words: list[bytes]) -> np.ndarray:
         if not words:
-            return np.array(self.ids(text) if text else [], np.uint32)
-        if missing := set(words) - self.keys():
-            before = len(self)
-            self.learn(missing)
-            if len(self) < before + len(missing):  # it started anew
-                self.learn(set(words) - self.keys())
+            return np.empty(0, np.uint32)
         rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         n = self.lengths[rows]
         ends = np.cumsum(n)
@@ -138,16 +137,20 @@ def binary_lengths(n: int, longest: int = MAX_LENGTH) -> list[int]:
 
 def _pieces(path: str, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTable(path)
+        words = worker_cache().setdefault(("words", path), None) or WordTable(path)
+        worker_cache()["words", path] = words
         for batch in batches:
             out: list[list[int]] = [[], [], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(words.encode(text.as_py() or ""), END_ID).astype("<u4")
-                at = 0
-                for k, n in enumerate(binary_lengths(len(ids), longest)):
-                    for column, x in zip(out, (doc_id, at, n, zlib.crc32(ids[at : at + n].tobytes()), len(ids), k)):
-                        column.append(x)
-                    at += n
+            for first in range(0, len(batch), 200):
+                some = batch.slice(first, 200)
+                encoded = words.encode([t.as_py() or "" for t in some.column(1)])
+                for doc_id, ids in zip(some.column(0).to_pylist(), encoded):
+                    ids = np.append(ids, END_ID).astype("<u4")
+                    at = 0
+                    for k, n in enumerate(binary_lengths(len(ids), longest)):
+                        for column, x in zip(out, (doc_id, at, n, zlib.crc32(ids[at : at + n]), len(ids), k)):
+                            column.append(x)
+                        at += n
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "piece"])
 
     return run
