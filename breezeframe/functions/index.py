@@ -45,7 +45,7 @@ def sub_index(key: str, x: Column) -> Column:
     """Piecewise-linear index of one pollutant; infinite readings give 0, negative ones count as 0."""
     c = F.greatest(x / UNIT_DIVISOR.get(key, 1.0), F.lit(0.0))
     edges = (0.0, *map(float, BREAKPOINTS[key]))
-    out = F.when(F.abs(x) == float("inf"), F.lit(0.0))
+    out = F.when(x.isNull(), F.lit(None).cast("double")).when(F.abs(x) == float("inf"), F.lit(0.0))
     for k in range(5):
         (lo, hi), (a, b) = edges[k : k + 2], SEGMENTS[k]
         out = out.when(c <= hi, a + (b - a) * (c - lo) / (hi - lo))

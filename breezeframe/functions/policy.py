@@ -82,13 +82,13 @@ def skip_cause(band: Column, apparent: Column, mm: Column, prob: Column) -> Colu
 
 
 def comfort(effective: Column, apparent: Column, mm: Column) -> Column:
-    """0 to 100, one decimal: air 55 %, heat 30 %, rain 15 %."""
+    """0 to 100, one decimal: air 55 %, heat 30 %, rain 15 %. The hair added makes ties the same whatever the order of sums."""
     clip = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(100.0), x))
     air = clip(100.0 - effective / AIR_SKIP * 100.0)
     heat = F.coalesce(clip(100.0 - F.greatest(F.lit(0.0), apparent - 24.0) * 6.0), F.lit(80.0))
     heat = F.when(apparent.isNull(), F.lit(80.0)).otherwise(heat)
     rain = F.when(mm.isNull(), F.lit(100.0)).otherwise(F.greatest(F.lit(0.0), 100.0 - mm * 25.0))
-    return F.when(effective.isNull(), F.lit(0.0)).otherwise(F.bround(0.55 * air + 0.3 * heat + 0.15 * rain, 1))
+    return F.when(effective.isNull(), F.lit(0.0)).otherwise(F.bround(0.55 * air + 0.3 * heat + 0.15 * rain + 1e-9, 1))
 
 
 def stricter(a: Column, b: Column) -> Column:

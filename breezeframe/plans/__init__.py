@@ -1 +1,6 @@
+"""All queries of the engine and the SQL that must agree with them."""
 
+from . import hourly
+
+QUERIES = {**hourly.QUERIES}
+ORACLE_SQL = {**hourly.ORACLE_SQL}
