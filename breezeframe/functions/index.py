@@ -42,15 +42,19 @@ def usable(x: Column) -> Column:
 
 
 def sub_index(key: str, x: Column) -> Column:
-    """Piecewise-linear index of one pollutant; infinite readings give 0, negative ones count as 0."""
+    """Piecewise-linear index of one pollutant; infinite readings give 0, negative ones count as 0.
+
+    The segment's number picks its constants from arrays, which keeps the generated code small.
+    """
     c = F.greatest(x / UNIT_DIVISOR.get(key, 1.0), F.lit(0.0))
     edges = (0.0, *map(float, BREAKPOINTS[key]))
-    out = F.when(x.isNull(), F.lit(None).cast("double")).when(F.abs(x) == float("inf"), F.lit(0.0))
-    for k in range(5):
-        (lo, hi), (a, b) = edges[k : k + 2], SEGMENTS[k]
-        out = out.when(c <= hi, a + (b - a) * (c - lo) / (hi - lo))
-    slope = (SEGMENTS[4][1] - SEGMENTS[4][0]) / (edges[5] - edges[4])
-    return out.when(c > edges[5], F.least(F.lit(500.0), SEGMENTS[5][0] + (c - edges[5]) * slope))
+    segment = sum((F.when(c > e, 1).otherwise(0) for e in edges[2:]), F.when(c > edges[1], 1).otherwise(0))
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), segment)
+    rise = [float(b - a) for a, b in SEGMENTS[:5]]
+    span = [hi - lo for lo, hi in zip(edges, edges[1:])]
+    # Above the last edge the slope of the segment before goes on, up to 500.
+    value = pick([float(a) for a, _ in SEGMENTS]) + pick([*rise, rise[4]]) * (c - pick(list(edges))) / pick([*span, span[4]])
+    return F.when(x.isNotNull(), F.when(F.abs(x) == float("inf"), F.lit(0.0)).otherwise(F.least(F.lit(500.0), value)))
 
 
 def index(readings: dict[str, Column]) -> Column:

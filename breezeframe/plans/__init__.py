@@ -1,6 +1,6 @@
 """All queries of the engine and the SQL that must agree with them."""
 
-from . import hourly
+from . import evaluation, hourly
+from .hourly import ORACLE_SQL, QUERIES
 
-QUERIES = {**hourly.QUERIES}
-ORACLE_SQL = {**hourly.ORACLE_SQL}
+__all__ = ["ORACLE_SQL", "QUERIES", "evaluation", "hourly"]
