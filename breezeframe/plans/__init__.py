@@ -1,6 +1,6 @@
 """All queries of the engine and the SQL that must agree with them."""
 
-from . import evaluation, hourly
+from . import evaluation, hourly, models, records, streams
 from .hourly import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "evaluation", "hourly"]
+__all__ = ["ORACLE_SQL", "QUERIES", "evaluation", "hourly", "models", "records", "streams"]
