@@ -79,8 +79,9 @@ def _mixed(docs: DataFrame, seed: str) -> DataFrame:
         .withColumn("_src", src)
         .withColumn("_key", exponential_key(F.col("doc_id"), quality_weight(F.col("text"), F.col("_mx_size")), seed))
         .withColumn("_tie", F.xxhash64("text"))
-        .withColumn("_fine", F.floor(F.log2("_key") * (COARSE * FINE)))
-        .withColumn("_coarse", F.floor(F.col("_fine") / FINE))
+        # Never null, so that the joins below do not test them for it, which would count the words again.
+        .withColumn("_fine", F.coalesce(F.floor(F.log2("_key") * (COARSE * FINE)), F.lit(0)))
+        .withColumn("_coarse", F.coalesce(F.floor(F.col("_fine") / FINE), F.lit(0)))
     )
     # A small histogram, stored so that the texts are read only once more, for the documents themselves.
     fine = stored(keyed.groupBy("_src", "_coarse", "_fine").agg(F.sum("_mx_size").alias("_n")), "key-bins")
