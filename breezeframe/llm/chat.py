@@ -54,7 +54,9 @@ def root_paths(links: DataFrame, max_rounds: int = 40) -> tuple[DataFrame, list[
     reach, ups = stored(reach, "reply-reach"), []
     for _ in range(max_rounds):
         if up.isEmpty():
-            return reach, ups
+            own = reach.where("id = root").select("root", F.col("path_score").alias("_own"))  # stretches leave their far end out
+            whole = F.col("path_score") + F.when(F.col("id") == F.col("root"), F.lit(0.0)).otherwise(F.col("_own"))
+            return stored(reach.join(own, "root").select("id", "root", "depth", whole.alias("path_score")), "reply-reach"), ups
         ups.append(up)
         # What a message has summed covers its own stretch; its furthest ancestor so far adds the next stretch.
         far = reach.select(F.col("id").alias("root"), F.col("root").alias("_r"), F.col("depth").alias("_d"), F.col("path_score").alias("_s"))
