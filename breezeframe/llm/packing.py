@@ -20,7 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +47,35 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Rows:
+    """Id lists of different lengths, end to end in one array that grows."""
+
+    def __init__(self) -> None:
+        self.flat, self.used, self.count = np.empty(1 << 16, np.uint32), 0, 0
+        self.starts, self.lengths = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> range:
+        """Append lists, given end to end; their rows."""
+        k, n = self.count, len(lengths)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while k + n > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.lengths))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[k : k + n] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[k : k + n] = lengths
+        self.used, self.count = self.used + len(ids), k + n
+        return range(k, k + n)
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of rows, end to end, and their lengths."""
+        n = self.lengths[rows]
+        ends = np.cumsum(n)
+        return self.flat[np.arange(n.sum()) + np.repeat(self.starts[rows] - (ends - n), n)], n
+
+
 class WordTable(dict):
-    """Word (bytes) -> its row in `starts`, `lengths` and `flat`; looks up missing words in bulk."""
+    """Word (bytes) -> its row of ids; looks up missing words in bulk."""
 
     def __init__(self, path: str):
         local_threads()
@@ -65,62 +92,47 @@ class WordTable(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.cuts: dict[str, list[int]] = {}
-        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.starts, self.lengths = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.rows, self.parts, self.part_rows = _Rows(), {}, _Rows()
 
-    def ids(self, text: str) -> list[int]:
-        return self.tok.encode(text, add_special_tokens=False).ids
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def add(self, words: list[bytes], ids: list[list[int]]) -> None:
-        k, n = len(self), np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(n.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while k + len(ids) > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.lengths))
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-        self.starts[k : k + len(ids)] = self.used + np.cumsum(n) - n
-        self.lengths[k : k + len(ids)] = n
-        self.used += total
-        self.update(zip(words, range(k, k + len(ids))))
+    def add_each(self, rows: _Rows, texts: list[str]) -> range:
+        found = [self.ids(s) for s in texts]
+        return rows.add(np.concatenate([np.empty(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64))
 
     def learn(self, words: set[bytes]) -> None:
-        """Add words that are not in the table."""
+        """Add words that are not in the table: the plain ones by the parts that the tokenizer cuts them into."""
         plain, rest = [], []
         for w in words:
             s = w.decode()
             (plain if PLAIN.fullmatch(s) else rest).append((w, s))
-        self.add([w for w, _ in rest], [self.ids(s) for _, s in rest])
-        parts = [self.cut.findall(s.lower()) for _, s in plain]
-        new = list({p for ps in parts for p in ps if p not in self.cuts})
+        self.update(zip([w for w, _ in rest], self.add_each(self.rows, [s for _, s in rest])))
+        if not plain:
+            return
+        cut = [self.cut.findall(s.lower()) for _, s in plain]
+        new = list(set(filterfalse(self.parts.__contains__, chain.from_iterable(cut))))
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
-            ids = np.array(self.ids(" ".join(some)), np.uint32)
+            ids = self.ids(" ".join(some))
             last = np.flatnonzero(self.ends[ids]) + 1
-            if len(last) != len(some):  # a part that the tokenizer cuts in another way
-                self.cuts.update((p, self.ids(p)) for p in some)
-            else:
-                self.cuts.update(zip(some, (x.tolist() for x in np.split(ids, last[:-1]))))
-        cuts = self.cuts
-        self.add([w for w, _ in plain], [cuts[ps[0]] if len(ps) == 1 else [i for p in ps for i in cuts[p]] for ps in parts])
+            # Otherwise there is a part that the tokenizer cuts in another way.
+            found = self.part_rows.add(ids, np.diff(last, prepend=0)) if len(last) == len(some) else self.add_each(self.part_rows, some)
+            self.parts.update(zip(some, found))
+        n = np.fromiter(map(len, cut), np.int64, len(cut))
+        ids, lengths = self.part_rows.take(np.fromiter(map(self.parts.__getitem__, chain.from_iterable(cut)), np.int64, int(n.sum())))
+        self.update(zip([w for w, _ in plain], self.rows.add(ids, np.add.reduceat(lengths, np.cumsum(n) - n))))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as the tokenizer gives them for the whole of it."""
         if len(self) > TABLE_WORDS:
             self.reset()
         split = [None if any(s in t for s in SPECIAL) else t.encode("utf-8", "surrogatepass").split() for t in texts]
-        self.learn({w for words in split if words for w in words if w not in self})
-        return [np.array(self.ids(t), np.uint32) if words is None else self.look_up(words) for t, words in zip(texts, split)]
+        self.learn(set(filterfalse(self.__contains__, chain.from_iterable(filter(None, split)))))
+        return [self.ids(t) if words is None else self.look_up(words) for t, words in zip(texts, split)]
 
     def look_up(self, words: list[bytes]) -> np.ndarray:
-        if not words:
-            return np.empty(0, np.uint32)
-        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        n = self.lengths[rows]
-        ends = np.cumsum(n)
-        at = np.arange(ends[-1]) + np.repeat(self.starts[rows] - (ends - n), n)
-        return self.flat[at]
+        return self.rows.take(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))[0]
 
 
 def binary_lengths(n: int, longest: int = MAX_LENGTH) -> list[int]:
