@@ -1,0 +1,191 @@
+"""Line dedup over sets of single words: the exact set-similarity join of `line_dedup` with words as tokens.
+
+A line's tokens are its distinct lower-cased words, so one changed word in a line of nine
+or more still leaves a near copy. All else is as in `line_dedup`; what differs keeps the
+longer posting lists of words in bounds and changes no result:
+
+1. Ranks are read from counts of the words of a quarter of the rows, in more buckets. Any
+   one order of tokens gives exact results.
+2. A class posts n - ceil(0.8 n) + 1 tokens. Of two similar sets the smaller one, m, has a
+   common token among its first m - ceil(8 m / 9) + 1: its short prefix. Sizes fall into
+   bands in which similar sets are neighbours at most. A post stays only if its token has
+   another that could meet it by band and by short prefix.
+3. Two 64-bit maps of a set bound the difference of two sets from below, and drop most
+   candidates before any whole set is made.
+4. Tokens are worked through in a few slices by hash, so only a slice's posts are on disk
+   at once. A class matched in one slice asks no more in the next, but still answers.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import discard, stored, table
+from .line_dedup import BLANK, HASH_BITS, SALTS, SPACE, _lines, _rows, dedup_lines, fates_of_lines, line_report, needed
+
+BUCKETS = 1 << 17
+RANK_SHARE = 4
+SLICES = 3
+
+
+def bucket(word: Column) -> Column:
+    return F.pmod(word, F.lit(BUCKETS)).cast("int")
+
+
+def token_ranks(docs: DataFrame) -> Column:
+    """The rank of each hash bucket of words as a constant array: BUCKETS small numbers, whatever the corpus."""
+    some = _rows(docs).where(F.pmod("tie", F.lit(RANK_SHARE)) == 0)
+    words = some.select(F.explode(F.split(F.lower("text"), SPACE)).alias("_w"))
+    counts = words.groupBy(bucket(F.xxhash64("_w")).alias("bucket")).agg(F.count("*").alias("n"))
+    found = counts.select("bucket", F.least(F.floor(F.log2(F.col("n")) * 128), F.lit(8191)).cast("int").alias("rank")).toArrow()
+    ranks = np.zeros(BUCKETS, int)
+    ranks[found.column("bucket").to_numpy()] = found.column("rank").to_numpy()
+    return F.split(F.lit(",".join(map(str, ranks.tolist()))), ",").cast("array<int>")
+
+
+def with_tokens(lines: DataFrame, ranks: Column) -> DataFrame:
+    """lines with `tokens`, sorted, the rarest first, in place of `_line`; lines without words go."""
+    trimmed = F.btrim(F.col("_line"), F.lit(BLANK))
+    hashed = lines.where(F.length(trimmed) > 0).withColumn("_h", F.transform(F.split(trimmed, SPACE), lambda w: F.xxhash64(w))).drop("_line")
+    pack = lambda t: F.shiftleft(F.get(ranks, bucket(t)).cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(t, 64 - HASH_BITS))
+    return hashed.withColumn("tokens", F.sort_array(F.array_distinct(F.transform("_h", pack)))).drop("_h")
+
+
+def bit_map(tokens: Column, at: int) -> Column:
+    """64 bits, one set for each token by six bits of its hash."""
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(t, at).bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda s, t: s.bitwiseOR(bit(t)))
+
+
+def line_prefixes(docs: DataFrame, ranks: Column) -> DataFrame:
+    """(doc, tie, line, h1, h2, n, b1, b2, prefix): every line that has words."""
+    n = F.size("tokens")
+    prefix = F.slice("tokens", F.lit(1), n - F.ceil(n * 4 / 5).cast("int") + 1)
+    keys = (F.xxhash64("tokens").alias("h1"), F.hash("tokens").alias("h2"), n.alias("n"), bit_map(F.col("tokens"), 2).alias("b1"), bit_map(F.col("tokens"), 20).alias("b2"))
+    return with_tokens(_lines(docs), ranks).select("doc", "tie", "line", *keys, prefix.alias("prefix"))
+
+
+def whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, ranks: Column) -> DataFrame:
+    """(h1, tokens) of the wanted classes (h1), from their earliest lines."""
+    places = classes.join(wanted, "h1", "left_semi").select("first.*").groupBy("doc", "tie").agg(F.collect_set("line").alias("lines"))
+    rows = _rows(docs)
+    held = rows.join(places.withColumnsRenamed({"doc": "_d", "tie": "_t"}), rows["doc"].eqNullSafe(F.col("_d")) & (rows["tie"] == F.col("_t")))
+    numbered = F.transform(F.split(F.lower("text"), "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    lines = held.select(F.explode(F.filter(numbered, lambda s: F.array_contains("lines", s["i"]))).alias("_l")).select(F.col("_l.x").alias("_line"))
+    return with_tokens(lines, ranks).select(F.xxhash64("tokens").alias("h1"), "tokens").dropDuplicates(["h1"])
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, ranks: Column) -> DataFrame:
+    """The x of pairs (x, y) whose whole sets are similar enough, each once."""
+    pairs = stored(pairs.distinct(), "line-pairs")
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("h1")).distinct()
+    sets = stored(whole_sets(docs, classes, wanted, ranks), "line-sets")
+    side = lambda c: sets.select(F.col("h1").alias(c), F.col("tokens").alias(f"_{c}"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    out = stored(both.where(F.size(F.array_intersect("_x", "_y")) >= needed(F.size("_x"), F.size("_y"))).select("x").distinct(), "lines-matched")
+    discard(sets)
+    discard(pairs)
+    return out
+
+
+def _fits(y: str) -> Column:
+    """Whether the set in struct column `y` comes before and may be similar to the one in the plain columns."""
+    other = lambda c: F.col(f"{y}.{c}")
+    need = needed(F.col("n"), other("n"))
+    room = 1 + F.least(F.col("n") - F.col("p"), other("n") - other("p"))
+    apart = F.greatest(*[F.bit_count(F.col(b).bitwiseXOR(other(b))) for b in ("b1", "b2")])
+    sizes = (5 * F.col("n") >= 4 * other("n")) & (5 * other("n") >= 4 * F.col("n"))
+    return (other("first") < F.col("first")) & sizes & (room >= need) & (apart <= F.col("n") + other("n") - 2 * need)
+
+
+def meeting_posts(classes: DataFrame, done: DataFrame, k: int) -> DataFrame:
+    """(token, members, x, first, n, p, b1, b2, open): posts of slice k whose token has another that could meet them; open if x isn't among done."""
+    # Similar sizes differ by 1.25 times at most, so they lie in one band or in neighbours.
+    band = F.least(F.floor(F.log(F.col("n")) / F.log(F.lit(1.26))), F.lit(60)).cast("int")
+    power = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+    short = F.col("p") <= F.col("n") - F.ceil(F.col("n") * 8 / 9) + 1
+    posts = classes.select(F.col("h1").alias("x"), "n", F.posexplode("prefix").alias("p", "token")).where(F.pmod("token", F.lit(SLICES)) == k).withColumn("p", F.col("p") + 1)
+    # Bit k + 1 stands for band k.
+    at = power(band + 1)
+    seen = posts.groupBy("token").agg(F.count("*").alias("members"), F.bit_or(at).alias("any"), F.bit_or(F.when(short, at).otherwise(F.lit(0).cast("long"))).alias("shorts")).where("members > 1")
+    near = F.col("any").bitwiseAND(power(band).bitwiseOR(power(band + 2))) != 0
+    crowded = F.col("members") > F.bit_count("any")
+    below = F.col("shorts").bitwiseAND(at.bitwiseOR(power(band))) != 0
+    kept = stored(posts.join(seen.hint("shuffle_hash"), "token").where((short & (near | crowded)) | (~short & below)).select("token", "members", "x", "p"), "line-posts")
+    about = classes.select(F.col("h1").alias("x"), "first", "n", "b1", "b2").join(done.withColumn("_done", F.lit(True)), "x", "left")
+    out = stored(kept.join(about, "x").select("token", "members", "x", "first", "n", "p", "b1", "b2", F.col("_done").isNull().alias("open")), "line-posts")
+    discard(kept)
+    return out
+
+
+def matched_in_slice(docs: DataFrame, classes: DataFrame, ranks: Column, before: DataFrame, k: int) -> DataFrame:
+    """(x): the classes not in `before` that have an earlier similar class under a token of slice k."""
+    posts = meeting_posts(classes, before, k)
+    one = F.struct("first", "x", "n", "p", "b1", "b2")
+    pairs = lambda p: p.where(_fits("y")).select("x", F.col("y.x").alias("y"))
+
+    earliest = posts.groupBy("token").agg(F.min(one).alias("y"))
+    salted = posts.where(F.col("members") > SALTS).groupBy("token", F.pmod(F.xxhash64("x"), F.lit(SALTS)).alias("salt")).agg(F.min(one).alias("y")).select("token", "y")
+    done = verified(pairs(posts.where("open").join(earliest.unionByName(salted), "token")), docs, classes, ranks)
+    rest = posts.where("open AND members > 2").join(done, "x", "left_anti").join(posts.where("members > 2").select("token", one.alias("y")), "token")
+    out = done.unionByName(verified(pairs(rest), docs, classes, ranks))
+    discard(posts)
+    return out
+
+
+def matched_classes(docs: DataFrame, classes: DataFrame, ranks: Column) -> DataFrame:
+    """(x): the classes that have an earlier similar class."""
+    found = classes.select(F.col("h1").alias("x")).where("false")
+    for k in range(SLICES):
+        found = found.unionByName(matched_in_slice(docs, classes, ranks, found, k))
+    return found
+
+
+def removed_lines(docs: DataFrame) -> DataFrame:
+    """(doc, tie, n_lines, removed): for each row with words, its lines that have words and the places of those that go."""
+    ranks = token_ranks(docs)
+    wide = stored(line_prefixes(docs, ranks), "line-prefixes")
+    place = F.min(F.struct("doc", "tie", "line")).alias("first")
+    classes = stored(wide.groupBy("h1", "h2").agg(place, *[F.first(c).alias(c) for c in ("n", "b1", "b2", "prefix")]), "line-classes")
+    lines = stored(wide.select("doc", "tie", "line", "h1", "h2"), "lines")
+    discard(wide)
+    return fates_of_lines(lines, classes, matched_classes(docs, classes, ranks))
+
+
+def dedup_word_lines(docs: DataFrame) -> DataFrame:
+    """As dedup_lines, with words as tokens."""
+    return dedup_lines(docs, removed_lines)
+
+
+def op4_line_dedup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_lines, n_removed, removed) as of op4_line_dedup, with words as tokens."""
+    return line_report(table(spark, sf_dir, "documents").select("doc_id", "text"), removed_lines)
+
+
+OP4_WORDS_SQL = r"""
+WITH l0 AS (
+  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS l FROM documents WHERE text IS NOT NULL),
+l AS (
+  SELECT doc_id, line, list_sort(list_distinct(regexp_extract_all(lower(l), '[^\x20\x09-\x0D]+'))) AS t
+  FROM l0 WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+c AS (SELECT t, len(t) AS n, min({'d': doc_id, 'l': line}) AS f, row_number() OVER () AS c FROM l GROUP BY t),
+df AS (SELECT w, count(*) AS k FROM (SELECT unnest(t) AS w FROM c) GROUP BY w),
+o AS (
+  SELECT c, n, w, row_number() OVER (PARTITION BY c ORDER BY k, w) AS p
+  FROM (SELECT c, n, unnest(t) AS w FROM c) JOIN df USING (w)),
+pre AS (SELECT c, n, w FROM o WHERE p <= n - CAST(ceil(n * 4 / 5.0) AS BIGINT) + 1),
+cand AS (
+  SELECT DISTINCT a.c AS a, b.c AS b FROM pre a JOIN pre b USING (w)
+  WHERE a.c <> b.c AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n),
+sim AS (
+  SELECT DISTINCT x.c FROM cand JOIN c x ON x.c = cand.a JOIN c y ON y.c = cand.b
+  WHERE y.f < x.f AND 9 * len(list_intersect(x.t, y.t)) >= 4 * (x.n + y.n)),
+g AS (
+  SELECT l.doc_id, l.line, (sim.c IS NOT NULL OR {'d': l.doc_id, 'l': l.line} > c.f) AS goes
+  FROM l JOIN c ON l.t = c.t LEFT JOIN sim ON sim.c = c.c)
+SELECT d.doc_id, count(g.line)::BIGINT AS n_lines, count(CASE WHEN goes THEN 1 END)::BIGINT AS n_removed,
+       coalesce(string_agg(CASE WHEN goes THEN CAST(g.line AS VARCHAR) END, ',' ORDER BY g.line), '') AS removed
+FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id GROUP BY d.doc_id
+"""

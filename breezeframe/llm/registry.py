@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, html_extract, line_dedup, media, minhash, mixing, packing, pii, quality_gam, quality_rules
+from . import chat, html_extract, line_dedup, line_words, media, minhash, mixing, packing, pii, quality_gam, quality_rules
 
 QUERIES = {
     "op1_near_duplicates": minhash.op1_near_duplicates,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_mixing": mixing.op3_mixing,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op4_line_dedup_words": line_words.op4_line_dedup_words,
     "op5_html": html_extract.op5_html,
     "op6_quality": quality_gam.op6_quality,
     "op7_packing": packing.op7_packing,
@@ -21,5 +22,6 @@ ORACLE_SQL = {
     "op2_quality_rules": quality_rules.OP2_SQL,
     "op3_mixing": mixing.OP3_SQL,
     "op4_line_dedup": line_dedup.OP4_SQL,
+    "op4_line_dedup_words": line_words.OP4_WORDS_SQL,
     "op9_chat": chat.OP9_SQL,
 }

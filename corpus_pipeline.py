@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from breezeframe.llm.common import stored, table
-from breezeframe.llm.line_dedup import dedup_lines
+from breezeframe.llm.line_words import dedup_word_lines
 from breezeframe.llm.minhash import without_near_duplicates
 from breezeframe.llm.mixing import mixed_documents
 from breezeframe.llm.packing import pack
@@ -25,7 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that resemble an earlier line go from their texts."""
-    return dedup_lines(docs)
+    return dedup_word_lines(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

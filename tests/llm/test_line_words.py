@@ -1,0 +1,61 @@
+import random
+
+import duckdb
+
+from breezeframe.llm import line_dedup, line_words
+
+
+def brute(rows):
+    """(doc_id, line) of the lines that go, by sets of words."""
+    lines = [((i, k), frozenset(x.lower().split())) for i, t in sorted(rows) for k, x in enumerate(t.split("\n")) if x.split()]
+    return {place for n, (place, s) in enumerate(lines) if any(9 * len(s & q) >= 4 * (len(s) + len(q)) for _, q in lines[:n])}
+
+
+def corpus(seed):
+    r = random.Random(seed)
+    words = [f"v{i}" for i in range(80)]
+    pool = [r.choices(words, k=r.randint(1, 60)) for _ in range(40)]
+    rows = []
+    for i in range(80):
+        lines = []
+        for _ in range(r.randint(0, 6)):
+            w = list(r.choice(pool))
+            for _ in range(r.choice((0, 1, 1, 2, 4))):
+                w[r.randrange(len(w))] = r.choice(words).upper()
+            r.shuffle(w) if r.random() < 0.2 else None
+            lines.append(" ".join(w))
+        rows.append((i, "\n".join(lines)))
+    return rows
+
+
+def test_same_as_brute_force(spark, documents):
+    for seed in (1, 2):
+        rows = corpus(seed)
+        got = {(r["doc"], k) for r in line_words.removed_lines(documents(rows)).collect() for k in r["removed"]}
+        assert got == brute(rows)
+
+
+def test_one_changed_word_in_nine(spark, documents):
+    """A near copy that five-word shingles keep."""
+    docs = documents([(1, "a b c d e f g h i"), (2, "a b c d X f g h i"), (3, "p q r s t u v w x")])
+    gone = lambda m: sorted((r["doc"], *r["removed"]) for r in m.removed_lines(docs).collect() if r["removed"])
+    assert gone(line_words) == [(2, 0)] and gone(line_dedup) == []
+    assert {r["doc_id"]: r["text"] for r in line_words.dedup_word_lines(docs).collect()}[2] == ""
+
+
+def test_odd_rows(spark, documents):
+    long = " ".join(f"z{i}" for i in range(20_000))
+    rows = [(None, "one two three"), (5, "one two three"), (5, "four five"), (5, "four five"), (6, long), (7, long + " more")]
+    got = sorted(((r["doc"], r["removed"]) for r in line_words.removed_lines(documents(rows)).collect()), key=str)
+    assert got == sorted([(None, []), (5, [0]), (5, []), (6, []), (7, [0])], key=str)
+    assert line_words.removed_lines(documents([])).count() == 0
+
+
+def test_agrees_with_sql(spark):
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    got = line_words.op4_line_dedup_words(spark, data)
+    want = con.sql(line_words.OP4_WORDS_SQL)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
