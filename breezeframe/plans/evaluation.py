@@ -264,6 +264,26 @@ def origins_digest(spark, d):
     return rows.groupBy("series").agg(F.sha2(F.array_join(stamps, ",").cast("binary"), 256).alias("digest"), F.count("*").alias("n"))
 
 
+def digest_of_days(rows):
+    """(series, digest, n) of rows (series, t): each day's sorted hours make a digest, and those in order of days the whole one.
+
+    At most 24 hours, then the days, of a series meet in one row. A repeated hour is refused.
+    """
+    stamp = F.date_format("t", "yyyy-MM-dd'T'HH:mm")
+    digest = lambda parts: F.sha2(F.array_join(parts, ",").cast("binary"), 256)
+    once = rows.groupBy("series", "t").agg(F.count("*").alias("k"))
+    once = once.withColumn("k", F.when(F.col("k") == 1, F.col("k")).otherwise(F.raise_error(F.concat(F.lit("repeated origin "), stamp)).cast("long")))
+    days = once.groupBy("series", F.to_date("t").alias("day")).agg(digest(F.array_sort(F.collect_list(stamp))).alias("digest"), F.sum("k").alias("k"))
+    inorder = F.transform(F.array_sort(F.collect_list(F.struct("day", "digest"))), lambda s: s["digest"])
+    return days.groupBy("series").agg(digest(inorder).alias("digest"), F.sum("k").alias("n"))
+
+
+@query(with_views(INDEX_SQL, "SELECT series, sha256(string_agg(digest, ',' ORDER BY day)) AS digest, sum(k)::BIGINT AS n FROM (SELECT series, CAST(t AS DATE) AS day, sha256(string_agg(strftime(t, '%Y-%m-%dT%H:%M'), ',' ORDER BY t)) AS digest, count(*) AS k FROM idx GROUP BY ALL) GROUP BY series"))
+def origins_digest_all(spark, d):
+    """As origins_digest, over all days."""
+    return digest_of_days(h.indexed(spark, d).select("series", "t"))
+
+
 @query(with_views(LABELLED_SQL, "SELECT count(CASE WHEN effective < instant THEN 1 END)::BIGINT AS below_instant, count(CASE WHEN target_t <= t THEN 1 END)::BIGINT AS not_ahead, (count(*) - count(DISTINCT {'s': series, 't': t}))::BIGINT AS repeated FROM pre"))
 def dataset_checks(spark, d):
     rows = h.labelled(spark, d)

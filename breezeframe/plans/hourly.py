@@ -303,6 +303,12 @@ def join_left_weather(spark, d):
     return slots(spark, d).where(F.hour("t") != 17).select("series", "t", r6("instant"), "temp_c", "precip_mm", "is_day")
 
 
+@query(with_views(SLOTS_SQL, "SELECT series, t, round(instant, 6) AS instant, temp_c, precip_mm, is_day FROM slots"))
+def join_left_weather_all(spark, d):
+    """As join_left_weather, with every hour of the air."""
+    return slots(spark, d).select("series", "t", r6("instant"), "temp_c", "precip_mm", "is_day")
+
+
 @query(with_views(SLOTS_SQL, "SELECT a.series, a.t, w.temp_c, w.apparent_c FROM air a JOIN wx w USING (series, t) WHERE w.temp_c IS NOT NULL AND w.apparent_c IS NOT NULL AND w.precip_mm IS NOT NULL AND w.humidity IS NOT NULL AND w.wind_kmh IS NOT NULL"))
 def join_inner_complete(spark, d):
     both = ad.air(spark, d).join(ad.weather(spark, d), ["series", "t"]).dropna(subset=["temp_c", "apparent_c", "precip_mm", "humidity", "wind_kmh"])
