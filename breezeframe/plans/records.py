@@ -142,6 +142,24 @@ def defect_counts(spark, d):
     return docs.groupBy("code").agg(F.count("*").alias("n"))
 
 
+# The same over all rows and codes. DuckDB's regular expressions differ outside ASCII, so these have no SQL.
+
+
+@query()
+def trimmed_texts_all(spark, d):
+    return ad.table(spark, d, "documents").select("doc_id", tx.trim_words(F.col("text"), 40).alias("short"))
+
+
+@query()
+def text_defects_all(spark, d):
+    return ad.table(spark, d, "documents").select("doc_id", F.array_join(tx.defects(F.col("text")), ",").alias("codes"))
+
+
+@query()
+def defect_counts_all(spark, d):
+    return ad.table(spark, d, "documents").select(F.explode(tx.defects(F.col("text"))).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+
+
 @query("SELECT p_partkey, CASE WHEN regexp_matches(lower(p_name), '^[aeiou]') THEN 'an ' ELSE 'a ' END || p_name AS named, CASE WHEN p_size >= 100 THEN 'many' WHEN p_size >= 20 THEN 'several' WHEN p_size >= 2 THEN 'a few' ELSE 'one' END AS amount FROM part")
 def named_counts(spark, d):
     return ad.table(spark, d, "part").select("p_partkey", tx.article(F.col("p_name")).alias("named"), tx.vague_count(F.col("p_size")).alias("amount"))
@@ -161,6 +179,13 @@ def argmax_vector(spark, d):
     return ad.table(spark, d, "embeddings").withColumn("p", p).select("vec_id", (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("top"), rounded(F.array_max("p"), 5).alias("best"))
 
 
+@query("SELECT vec_id, list_position(p, list_max(p)) - 1 AS top, round(list_max(p), 5) AS best FROM (SELECT vec_id, list_transform(embedding, lambda x: abs(x)::DOUBLE) AS p FROM embeddings)")
+def argmax_vector_all(spark, d):
+    """As argmax_vector, over the whole vector."""
+    p = F.transform("embedding", lambda x: F.abs(x).cast("double"))
+    return ad.table(spark, d, "embeddings").withColumn("p", p).select("vec_id", (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("top"), rounded(F.array_max("p"), 5).alias("best"))
+
+
 @query("SELECT r_name, count(*)::BIGINT AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def dimension_lookup(spark, d):
     """Fixed dimensions are broadcast; they have 25 and 5 rows by definition."""
