@@ -1,4 +1,4 @@
-"""Stream queries: run to the end of what is there, rows only. Their batch forms have SQL."""
+"""Stream queries: run to the end of what is there, with the windows still open then. Their batch forms have SQL."""
 
 from __future__ import annotations
 
@@ -11,13 +11,13 @@ from .hourly import query, rounded
 
 @query()
 def stream_hourly(spark, d):
-    out = st.drained(st.hourly_windows(st.event_stream(spark, d)))
+    out = st.drained(spark, d, st.hourly_windows, st.in_open_hours)
     return out.select(F.col("w.start").alias("start"), "event_type", "n", rounded(F.col("total"), 4).alias("total"))
 
 
 @query()
 def stream_sessions(spark, d):
-    out = st.drained(st.sessions(st.event_stream(spark, d)))
+    out = st.drained(spark, d, st.sessions, st.of_open_sessions)
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "user_id", "n")
 
 

@@ -6,6 +6,8 @@ hourly series, so every window is partitioned by a series and never by nothing.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (folder or "file://" + tempfile.mkdtemp(prefix="breezeframe-")).rstrip("/")
+
+
 def hour_of(ts: Column) -> Column:
     return F.date_trunc("hour", ts).cast("timestamp_ntz")
 
