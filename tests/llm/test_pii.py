@@ -1,5 +1,11 @@
+import hashlib
+import math
+import random
 import re
+import time
+from collections import Counter, defaultdict
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -36,14 +42,93 @@ def test_known_spans():
     assert [text[s:e] for s, _, e in pii.base_spans(text)] == ["a.b+c@x.example.org", "10.0.0.255", "4111 1111 1111 1111", "+1 (456) 555-2186"] and pii.base_spans(text) == brute(text)
 
 
-def test_context_finds_new_identifiers(spark, documents):
-    """Words that nearly always stand before known data lead to forms that the base patterns miss; common words do not."""
-    rows = [(i, f"please write me: reachable-at user{i}@mail.example.com for the talk number {10000 + i} of it") for i in range(40)]
-    rows += [(100, "find me reachable-at id-99817-xk today"), (101, "the 77712 of them"), (102, None), (103, ""), (None, "reachable-at zz-10203-q")]
-    rows += [(200 + i, "the talk of the town is about the number of the day") for i in range(200)]
-    out = {r["doc_id"]: r for r in pii.find_personal_data(documents(rows)).collect()}
-    span = lambda i, t: [t[s["start"] : s["end"]] for s in out[i]["added"]]
-    assert span(100, rows[40][1]) == ["id-99817-xk"] and span(None, rows[44][1]) == ["zz-10203-q"]
-    assert out[101]["added"] == [] and out[102]["base"] == [] and len(out) == len(rows)
-    assert all(len(out[i]["base"]) == 1 for i in range(40))
+def extracted(texts):
+    """Spans added to each text, by plain loops over all mentions and all words."""
+    found = [pii.mentions(t, brute(t)) for t in texts]
+    edges, own = defaultdict(Counter), {}
+    for ms in found:
+        for m in ms:
+            for p in m["patterns"]:
+                edges[p][m["instance"]] += 1
+                own[m["instance"]] = max(own.get(m["instance"], 0), m["weight"])
+    total = Counter()
+    for t in texts:
+        w = [re.sub("[0-9]", "0", x) for x in t.lower().split()]
+        total.update(f"L {x}" for x in w)
+        total.update(f"M {a} {b}" for a, b in zip(w, w[1:]))
+        total.update(f"B {a} {b}" for a, b in zip(w, w[2:]))
+    kept = {p for p in edges if len(edges[p]) >= 3}
+    total = {p: sum(edges[p].values()) if p[0] == "K" else max(total["L" + p[1:] if p[0] == "R" else p], sum(edges[p].values())) for p in kept}
+    weight, chosen = dict(own), {}
+    while True:
+        conf = {p: sum(n * weight[i] for i, n in edges[p].items()) / (total[p] + 1) for p in kept if sum(weight[i] >= 0.6 for i in edges[p]) >= 3}
+        conf = {p: c for p, c in conf.items() if c >= 0.6}
+        if len(conf) == len(chosen):
+            break
+        chosen = conf
+        doubt = Counter()
+        for p in kept:
+            for i in edges[p]:
+                doubt[i] += math.log(max(1 - conf.get(p, 0), 1e-9))
+        weight = {i: 1 - (1 - own[i]) * math.exp(doubt[i]) for i in own}
+    return [sorted({(m["start"], m["end"]) for m in ms if not m["base"] and chosen.keys() & set(m["patterns"])}) for ms in found]
+
+
+def listed(spans):
+    return ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
+
+
+def fixture_texts():
+    r = random.Random(5)
+    prose = lambda n: " ".join(r.choice(("the", "of", "talk", "town", "number", "and", "day", "in")) for _ in range(n))
+    texts = []
+    for i in range(40):
+        texts.append(f"{prose(5)} reachable-at user{i}@mail.example.com {prose(3)} {10000 + i} {prose(2)}")
+        texts.append(f"{prose(3)} token = \"{r.getrandbits(160):040x}\" {prose(4)}")
+        texts.append(f"{prose(2)} note: {prose(6)} 10.0.0.{i} {prose(2)}")
+    texts += ["token = 'hunter2' again", "reachable-at id-99817-xk today", "call reachable-at zz-10203-q or token: abc", "note: 123456 words", "", "x" * 3000 + " 77712 of"]
+    return texts
+
+
+def test_same_as_brute_force(spark, documents):
+    """The whole result, chains of rounds included: tokens of strong shape teach the key, the key teaches plain values."""
+    texts = fixture_texts()
+    out = {r["doc_id"]: r for r in pii.find_personal_data(documents(list(enumerate(texts)))).collect()}
+    want = extracted(texts)
+    for i, t in enumerate(texts):
+        assert [tuple(x) for x in out[i]["base"]] == brute(t)
+        assert [(x["start"], x["end"]) for x in out[i]["added"]] == want[i], t
+    said = [t[s:e] for t, spans in zip(texts, want) for s, e in spans]
+    assert {"hunter2", "id-99817-xk", "zz-10203-q", "abc"} <= set(said) and "123456" not in said and not any(x.startswith("100") and len(x) == 5 for x in said)
+
+
+def test_query(spark):
+    """All columns of the query over a table's whole texts, against plain loops; what was planted is found."""
+    data = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
+    texts = [r["text"] or "" for r in rows]
+    want = {r["doc_id"]: (brute(t), [(s, 4, e) for s, e in added]) for r, t, added in zip(rows, texts, extracted(texts))}
+    got = pii.op8_pii(spark, data).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        base, added = want[r["doc_id"]]
+        assert [r[f"n_{k}"] for k in pii.KINDS[:4]] == [sum(x[1] == k for x in base) for k in range(4)]
+        assert r["base_sha256"] == hashlib.sha256(listed(base).encode()).hexdigest()
+        assert r["spans"] == listed(base + added) and (r["n_added"], r["n_spans"]) == (len(added), len(base) + len(added))
+    secrets = sum(len(re.findall(r'token = "[0-9a-f]{40}"', t)) for t in texts)
+    assert 0 < secrets <= sum(r["n_added"] for r in got)
+
+
+@pytest.mark.parametrize("make", [lambda n: "1" * n, lambda n: "1." * n, lambda n: "a@" * n, lambda n: "+1((" * n, lambda n: "=a" * n, lambda n: "x" * n + "12345", lambda n: "k=1234567 " * n])
+def test_long_runs_take_linear_time(make):
+    began = time.process_time()
+    pii.mentions(make(50_000), pii.base_spans(make(50_000)))
+    assert time.process_time() - began < 20
+
+
+def test_odd_rows(spark, documents):
+    rows = [(None, "1.2.3.4"), (1, None), (2, ""), (2, ""), (3, "a" * 200_000)]
+    docs = documents(rows).withColumnsRenamed({"n_chars": "rid", "lang": "pattern", "source": "mentions"})
+    out = sorted(((r["doc_id"], len(r["base"]), len(r["added"])) for r in pii.find_personal_data(docs).collect()), key=str)
+    assert out == [(1, 0, 0), (2, 0, 0), (2, 0, 0), (3, 0, 0), (None, 1, 0)]
     assert pii.find_personal_data(documents([])).count() == 0
