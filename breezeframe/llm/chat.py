@@ -11,8 +11,10 @@ so no text can open or close a turn and reading back restores it exactly.
 
 Nulls and ties: a null role or text is empty; messages whose parent is absent are
 roots; rows of one conversation with equal turns are ordered by role and text;
-rows with a null conversation id form one conversation. An empty table gives an
-empty result. Extra columns are ignored.
+repeated rows are turns of their own; rows with a null conversation id form one
+conversation; conversation ids take any value. Very long texts are turns like any
+other. An empty table gives an empty result. Extra columns are ignored, whatever
+their names. A linear conversation has one leaf, so its ranking has one branch.
 """
 
 from __future__ import annotations
@@ -72,8 +74,8 @@ def best_branches(links: DataFrame, reach: DataFrame, per_root: int = 1) -> Data
     """(leaf, root, rank): the leaves of each root, the highest path score first, then the deepest, then the least id."""
     leaves = reach.join(links.select(F.col("parent").alias("id")).where("id IS NOT NULL"), "id", "left_anti")
     if per_root == 1:
-        best = F.max(F.struct(F.col("path_score"), F.col("depth"), (-F.col("id")).alias("_neg")))
-        return leaves.groupBy("root").agg(best.alias("_b")).select((-F.col("_b._neg")).alias("leaf"), "root", F.lit(1).alias("rank"))
+        best = F.min(F.struct((-F.col("path_score")).alias("_s"), (-F.col("depth")).alias("_d"), F.col("id").alias("leaf")))
+        return leaves.groupBy("root").agg(best.alias("_b")).select("_b.leaf", "root", F.lit(1).alias("rank"))
     rank = F.row_number().over(W.partitionBy("root").orderBy(F.desc("path_score"), F.desc("depth"), "id"))
     return leaves.withColumn("rank", rank).where(F.col("rank") <= per_root).select(F.col("id").alias("leaf"), "root", "rank")
 
@@ -118,11 +120,10 @@ def conversation_links(conversations: DataFrame) -> DataFrame:
     """Messages (id, parent, conv_id, role, text, score) of linear conversations: each turn replies to the one before."""
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     by_turn = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = rows.withColumn("_n", F.row_number().over(by_turn).cast("long"))
-    # A conversation's number times 2^24 plus the position is an id for conversations below 2^24 turns.
-    node = F.col("_conv") * F.lit(1 << 24) + F.col("_n")
-    rows = rows.withColumn("_conv", F.coalesce(F.col("conv_id") + 1, F.lit(-1)))
-    return rows.select(node.alias("id"), F.when(F.col("_n") > 1, node - 1).alias("parent"), "conv_id", "role", "text", F.lit(1.0).alias("score"))
+    rows = rows.withColumn("_n", F.row_number().over(by_turn))
+    # An id is a struct, so every conversation id has room, and null is one of its own.
+    node = lambda n: F.struct(F.col("conv_id").isNull().alias("none"), F.coalesce("conv_id", F.lit(0)).cast("long").alias("conv"), n.alias("n"))
+    return rows.select(node(F.col("_n")).alias("id"), F.when(F.col("_n") > 1, node(F.col("_n") - 1)).alias("parent"), "conv_id", "role", "text", F.lit(1.0).alias("score"))
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:

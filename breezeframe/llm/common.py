@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 import tempfile
 import uuid
@@ -26,11 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own where none is set and all run on one machine, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = spark.conf.get("spark.breezeframe.ownFolder", None)
         if not folder:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="breezeframe-")
             spark.conf.set("spark.breezeframe.ownFolder", folder)
     return folder.rstrip("/")
@@ -70,11 +73,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def worker_cache() -> dict:
-    """A dict that outlives a task where Spark uses a Python worker again."""
-    return sys.__dict__.setdefault("_breezeframe_worker_cache", {})
-
-
 def local_threads() -> None:
     """Keep native libraries in a task on that task's own core."""
     for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "RAYON_NUM_THREADS"):

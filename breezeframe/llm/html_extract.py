@@ -12,8 +12,9 @@ Block elements and line breaks separate blocks; inline elements do not. Scripts,
 styles and other elements that show no text are skipped by their tags.
 
 Nulls and ties: a null or empty page gives an empty text; markup without end, stray end
-tags and unclosed elements are read as browsers do, roughly; repeated rows have equal
-results. An empty table gives an empty result. Extra columns are ignored.
+tags and unclosed elements are read as browsers do, roughly; a very long page is read in
+linear time; repeated rows have equal results. An empty table gives an empty result.
+Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ from .html_samples import sample_pages
 #: Sample pages that train the model, and its size.
 SAMPLE_PAGES, TREES, DEPTH = 800, 25, 5
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+#: A tag from its < on. Quotes count after = only; no part can give back what it took, so a tag is read once.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -95,27 +97,47 @@ class Page:
 
 
 def parse(html: str) -> Page:
+    """Read a page in one pass; markup that never ends takes the rest of the page with it."""
     page = Page()
     tags, parent, runs = page.tags, page.parent, page.runs
-    top, at = ROOT, 0
+    top, at, text_from = ROOT, 0, 0
+    open_tags: dict[str, int] = {}  # tags from the root to `top`
     has_body = False
-
-    while m := MARKUP.search(html, at):
-        if at < m.start():
-            runs.append((top, html[at : m.start()]))
-        at = m.end()
-        tag = m[2]
-        if not tag:
+    raw_ends: dict[str, re.Pattern] = {}
+
+    def close_up_to(node: int) -> None:
+        nonlocal top
+        while top != node:
+            open_tags[tags[top]] -= 1
+            top = parent[top]
+
+    while (at := html.find("<", at)) >= 0:
+        follows = html[at + 1 : at + 2]
+        if follows in ("!", "?") or follows == "/" and not html[at + 2 : at + 3].isalpha():
+            end = html.find("-->", at + 4) + 2 if html.startswith("<!--", at) else html.find(">", at)
+            m = None
+            end = len(html) if end < at else end + 1
+        elif follows == "/" or follows.isalpha() and follows.isascii():
+            m = TAG.match(html, at)
+            end = m.end() if m else len(html)
+        else:
+            at += 1
+            continue
+        if text_from < at:
+            runs.append((top, html[text_from:at]))
+        at = text_from = end
+        if not m:
             continue
-        tag = tag.lower()
+        tag = m[2].lower()
         if m[1]:
+            if not open_tags.get(tag):
+                continue
             p = top
-            while p != ROOT and tags[p] != tag:
+            while tags[p] != tag:
                 p = parent[p]
-            if p != ROOT:
-                if tag not in INLINE:
-                    runs.append((p, None))
-                top = parent[p]
+            if tag not in INLINE:
+                runs.append((p, None))
+            close_up_to(parent[p])
             continue
         if tag == "html" or tag == "body" and has_body:
             continue
@@ -123,31 +145,32 @@ def parse(html: str) -> Page:
         if tag not in INLINE:
             if tag in CLOSES_P:
                 p = top
-                while p != ROOT and tags[p] in INLINE:
+                while open_tags.get("p") and tags[p] in INLINE:
                     p = parent[p]
                 if tags[p] == "p":
-                    top = parent[p]
-            elif tag in SAME:
+                    close_up_to(parent[p])
+            elif tag in SAME and any(map(open_tags.get, SAME[tag])):
                 p, own = top, SAME[tag]
                 while p != ROOT and tags[p] not in own and (tags[p] not in SCOPE or tag == "tr" and tags[p] == "tr"):
                     p = parent[p]
                 if p != ROOT and tags[p] in own:
-                    top = parent[p]
                     if tag == "tr" and tags[p] != "tr":
-                        while top != ROOT and tags[top] != "tr":
-                            top = parent[top]
-                        top = max(parent[top], ROOT)
+                        while p != ROOT and tags[p] != "tr":
+                            p = parent[p]
+                    close_up_to(max(parent[p], ROOT))
             runs.append((top, None))
         if tag in VOID:
             continue
         node = page.add(tag, m[3], top)
         if tag in RAW:  # all up to its end tag is text of it
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = close.end() if close else len(html)
+            pattern = raw_ends.setdefault(tag, re.compile(rf"</{re.escape(tag)}\s*+>", re.I))
+            close = pattern.search(html, at)
+            at = text_from = close.end() if close else len(html)
         elif not m[3].endswith("/"):
             top = node
-    if at < len(html):
-        runs.append((top, html[at:]))
+            open_tags[tag] = open_tags.get(tag, 0) + 1
+    if text_from < len(html):
+        runs.append((top, html[text_from:]))
     page.runs = [(k, entities.unescape(t) if t and "&" in t else t) for k, t in runs]
     return page
 

@@ -10,13 +10,16 @@ rows are never dropped.
 
 The archives go through pyarrow's file systems, so a directory is a URI that all
 executors reach. Each attempt of a task writes under a name of its own; the commit
-lists the attempts that count, so tasks may fail, run twice or be lost.
+lists the attempts that count, so tasks may fail, run twice or be lost. Each commit has
+a list of its own: appended archives stand beside the earlier ones, and an overwriting
+write deletes those once its own are listed.
 
 A payload is kept as an 8-bit greyscale PNG, 64 samples a row, without row filters.
 
 Nulls and ties: a null text is an empty payload, which is padded to 64 zero bytes; a null
 doc_id is kept; repeated rows are members of their own. An empty table gives an
-empty archive directory and an empty result. Extra columns are ignored.
+empty archive directory and an empty result. A very long text is one member. Extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -112,6 +115,19 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if uri.startswith("/") else uri)
 
 
+def _lists(files, path: str) -> list[str]:
+    """The paths of the lists of archives in a directory."""
+    from pyarrow import fs
+
+    return sorted(f.path for f in files.get_file_info(fs.FileSelector(path)) if f.base_name.startswith("_archives-"))
+
+
+def _listed(files, path: str) -> list[list]:
+    """(name, bytes) of the archives in one list."""
+    with files.open_input_stream(path) as f:
+        return json.loads(f.read())
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     name: str
@@ -127,8 +143,8 @@ class _Range(InputPartition):
 
 
 class MediaWriter(DataSourceArrowWriter):
-    def __init__(self, uri: str):
-        self.uri = uri
+    def __init__(self, uri: str, overwrite: bool = False):
+        self.uri, self.overwrite = uri, overwrite
         files, path = _open(uri)
         files.create_dir(path, recursive=True)
 
@@ -143,20 +159,31 @@ class MediaWriter(DataSourceArrowWriter):
                     offsets.append(at)
                     at += out.write(struct.pack(HEADER, MAGIC, key is not None, key or 0, n, len(body), zlib.crc32(body)))
                     at += out.write(body)
-        with files.open_output_stream(f"{path}/{name}.offsets") as out:
-            out.write(np.array(offsets, "<i8").tobytes())
+        if offsets:
+            with files.open_output_stream(f"{path}/{name}.offsets") as out:
+                out.write(np.array(offsets, "<i8").tobytes())
+        else:
+            files.delete_file(f"{path}/{name}")
         return _Written(name, at, len(offsets))
 
     def commit(self, messages: list[_Written | None]) -> None:
+        """Each write has a list of its own, so writes add up; an overwriting one then takes the others away."""
         files, path = _open(self.uri)
+        before = _lists(files, path) if self.overwrite else []
         done = [[m.name, m.size] for m in messages if m is not None and m.members]
-        with files.open_output_stream(f"{path}/_archives.json") as out:
+        with files.open_output_stream(f"{path}/_archives-{uuid.uuid4().hex}.json") as out:
             out.write(json.dumps(sorted(done)).encode())
+        for name in before:
+            gone = _listed(files, name)
+            files.delete_file(name)
+            for archive, _ in gone:
+                files.delete_file(f"{path}/{archive}")
+                files.delete_file(f"{path}/{archive}.offsets")
 
     def abort(self, messages: list[_Written | None]) -> None:
         files, path = _open(self.uri)
         for m in messages:
-            if m is not None:
+            if m is not None and m.members:
                 for name in (m.name, f"{m.name}.offsets"):
                     files.delete_file(f"{path}/{name}")
 
@@ -167,8 +194,7 @@ class MediaReader(DataSourceReader):
 
     def partitions(self) -> list[_Range]:
         files, path = _open(self.uri)
-        with files.open_input_stream(f"{path}/_archives.json") as f:
-            archives = json.loads(f.read())
+        archives = [x for name in _lists(files, path) for x in _listed(files, name)]
         return [_Range(name, at, min(size, at + self.range_bytes)) for name, size in archives for at in range(0, size, self.range_bytes)] or [_Range("", 0, 0)]
 
     def member(self, archive, offset: int, name: str) -> tuple[int | None, int, bytes]:
@@ -222,7 +248,7 @@ class MediaArchive(DataSource):
         return MediaReader(self.options["path"], int(self.options.get("range_bytes", RANGE_BYTES)), int(self.options.get("tries", TRIES)))
 
     def writer(self, schema, overwrite: bool) -> MediaWriter:
-        return MediaWriter(self.options["path"])
+        return MediaWriter(self.options["path"], overwrite)
 
 
 # --- documents as media

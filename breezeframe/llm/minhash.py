@@ -23,8 +23,10 @@ With K = 64 and MATCHES = 38 a pair of similarity 0.8 is missed with a chance of
 Nulls and ties: null and blank texts have no shingles, link with nothing and stay;
 a text of fewer words than a shingle is one shingle; rows with a null doc_id are
 compared like others, but their component is named by its least id that is not null
-(null if it has none, and then they stay). Rows that repeat a doc_id share its fate.
-An empty table gives an empty result. Extra columns are ignored.
+(null if it has none, and then they are marked as kept). Rows that repeat a doc_id are
+compared like others. A very long text is one set. An empty table gives an empty
+result. Other columns are ignored, and keep their values where rows are returned,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -86,8 +88,10 @@ def signature(shingles: np.ndarray, by: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def class_id(shingles: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_hashes(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Two 64-bit hashes of each set, which together tell sets apart."""
+    digests = b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets)
+    return [pa.array(x) for x in np.frombuffer(digests, "<i8").reshape(-1, 2).T]
 
 
 def _list_column(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
@@ -100,10 +104,11 @@ def _signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, by = _Hashes(), multipliers()
         for batch in batches:
-            sets = [shingle_set(t.as_py() or "", size, hashes) for t in batch.column(1)]
+            sets = [shingle_set(t.as_py() or "", size, hashes) for t in batch.column("text")]
             empty = np.empty(0, np.int32)
             sigs = _list_column([signature(s, by) if len(s) else empty for s in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_id(s) for s in sets], pa.int64()), sigs], names=["doc_id", "n_shingles", "cid", "sig"])
+            rest = batch.drop_columns(["text"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([len(s) for s in sets], pa.int64()), *set_hashes(sets), sigs], names=[*rest.schema.names, "n_shingles", "c1", "c2", "sig"])
 
     return run
 
@@ -112,10 +117,9 @@ def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            sets = [shingle_set(t.as_py() or "", size, hashes) for t in batch.column(0)]
-            for at in range(0, len(sets), 1000):
-                some = sets[at : at + 1000]
-                yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in some], pa.int64()), _list_column([s.view(np.int64) for s in some], pa.int64())], names=["cid", "shingles"])
+            for at in range(0, len(batch), 1000):
+                some = [shingle_set(t.as_py() or "", size, hashes) for t in batch.column(0)[at : at + 1000]]
+                yield pa.RecordBatch.from_arrays([*set_hashes(some), _list_column([s.view(np.int64) for s in some], pa.int64())], names=["c1", "c2", "shingles"])
 
     return run
 
@@ -217,7 +221,7 @@ def _long_list_links(groups: DataFrame, roots: DataFrame, sets: DataFrame) -> Da
 
 
 def linked_classes(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """(id, root) for every class (cid, doc_id, sig) that is linked with another one."""
+    """(id, root) for every class (cid, c1, c2, doc_id, sig) that is linked with another one."""
     value = F.col("_v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
     key = F.shiftleft(F.col("_k").cast("long"), 32).bitwiseOR(value).alias("key")
     posts = classes.select("cid", F.posexplode("sig").alias("_k", "_v")).select("cid", key)
@@ -225,9 +229,11 @@ def linked_classes(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     lists = shared.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("lists"), F.sum("n").alias("weight"))
     lists = stored(lists.where(F.size("lists") >= MATCHES), "posting-lists")
     sigs = stored(classes.join(lists.select("cid"), "cid", "left_semi"), "signatures")
-    wanted = sigs.select("doc_id", "cid")
-    texts = docs.select("doc_id", "text").join(small_or_shuffled(wanted.select("doc_id").distinct(), 200_000), "doc_id", "left_semi")
-    sets = stored(texts.select("text").mapInArrow(_sets(size), "cid long, shingles array<long>").join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "shingle-sets")
+    # A class is fetched by the id of one of its rows, which may be null.
+    wanted = sigs.select("cid", "c1", "c2")
+    ids = small_or_shuffled(sigs.select(F.col("doc_id").alias("_id")).distinct(), 200_000)
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    sets = stored(texts.select("text").mapInArrow(_sets(size), "c1 long, c2 long, shingles array<long>").join(wanted, ["c1", "c2"]).dropDuplicates(["cid"]).select("cid", "shingles"), "shingle-sets")
 
     every = lists.select("cid", "weight", F.explode("lists.key").alias("key"))
     hubs = every.groupBy("key").agg(F.max(F.struct("weight", "cid")).alias("_h"), F.count("*").alias("members")).where("members > 1").select("key", F.col("_h.cid").alias("hub"), "members")
@@ -247,28 +253,51 @@ def linked_classes(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     return components(links.unionByName(more))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, n_shingles, component_id, kept), one row a document."""
+def rows_with_roots(docs: DataFrame, size: int) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, tie, n_shingles, root, least), one row a document.
+
+    root names the component (null for a text without shingles), least is its least id
+    that is not null, and tie tells the texts of one id apart.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(docs.mapInArrow(_signatures(size), "doc_id long, n_shingles long, cid long, sig array<int>"), "signed")
-    classes = stored(signed.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "classes")
+    keyed = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("tie"), "text")
+    signed = stored(keyed.mapInArrow(_signatures(size), "rid long, doc_id long, tie long, n_shingles long, c1 long, c2 long, sig array<int>"), "signed")
+    # A class is named by one of its rows, so no two have one name; 128 bits of hash tell sets apart.
+    classes = stored(signed.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "classes")
     roots = linked_classes(docs, classes, size)
-    classes = classes.select("cid", F.col("doc_id").alias("_least")).join(roots.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    classes = classes.select("c1", "c2", "cid", F.col("doc_id").alias("_least")).join(roots.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     classes = stored(classes, "class-roots")
-    least = classes.groupBy("root").agg(F.min("_least").alias("component_id"))
-    named = classes.select("cid", "root").join(least, "root").select("cid", "component_id")
-    out = signed.select("doc_id", "n_shingles", "cid").where("n_shingles > 0").join(named, "cid").unionByName(signed.where("n_shingles = 0").select("doc_id", "n_shingles", "cid", F.col("doc_id").alias("component_id")))
-    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+    least = classes.groupBy("root").agg(F.min("_least").alias("least"))
+    named = classes.select("c1", "c2", "root").join(least, "root")
+    bare = signed.where("n_shingles = 0").select("doc_id", "tie", "n_shingles", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("least"))
+    return signed.where("n_shingles > 0").join(named, ["c1", "c2"]).select("doc_id", "tie", "n_shingles", "root", "least").unionByName(bare)
+
+
+def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, n_shingles, component_id, kept), one row a document."""
+    kept = F.coalesce(F.col("doc_id") == F.col("least"), F.col("least").isNull())
+    return rows_with_roots(docs, size).select("doc_id", "n_shingles", F.col("least").alias("component_id"), kept.alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
-    """The rows of docs that their component keeps, with the columns of docs.
+    """One row of docs for each component, with the columns of docs: that of its least id, nulls last.
 
-    Rows that repeat a kept doc_id with another text stay; rows without an id stay.
+    Rows are told apart by id and text: of rows that repeat both one stays, and where one
+    text of an id goes, another of the same id stays. Texts without shingles all stay.
     """
-    gone = near_duplicates(docs, size).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(small_or_shuffled(gone, 200_000), docs["doc_id"].cast("long") == gone["doc_id"], "left_anti").select(*[docs[c] for c in docs.columns])
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
+    rows = rows_with_roots(docs, size).where("root IS NOT NULL").select("root", name.alias("name"))
+    names = stored(rows.groupBy("root", "name").agg(F.count("*").alias("n")), "row-names")
+    first = names.groupBy("root").agg(F.min("name").alias("first"))
+    judged = names.join(first, "root").select("name", (F.col("name") != F.col("first")).alias("goes"), "n")
+    gone = stored(judged.where("goes OR n > 1"), "rows-gone")
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    doc_id = docs["doc_id"].cast("long")
+    keyed = docs.select(row, F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), F.xxhash64(docs["text"]).alias("tie")).alias("name"))
+    back = [F.col("row")[c].alias(c) for c in docs.columns]
+    stay = keyed.join(small_or_shuffled(gone.select("name"), 200_000), "name", "left_anti").select(*back)
+    repeated = keyed.join(small_or_shuffled(gone.where("NOT goes").select("name"), 200_000), "name", "left_semi").dropDuplicates(["name"])
+    return stay.unionByName(repeated.select(*back))
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ as many tasks as its keys have bins and no window holds a whole source.
 Nulls and ties: a null text has size 0; a null source is a source of its own,
 last in order; a null doc_id draws the key of an empty id. Rows with equal keys
 are ordered by doc_id and a text digest; wholly equal rows are interchangeable.
-An empty table gives an empty result.
+A very long text is one size like any other. An empty table gives an empty result.
+Other columns keep their values, whatever their names.
 """
 
 from __future__ import annotations
@@ -71,40 +72,45 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = SOURCE_WEIGHTS,
     )
 
 
-def _mixed(docs: DataFrame, seed: str) -> DataFrame:
-    """docs with _mx_size, _mx_total, _mx_target and _mx_taken; other columns of docs are carried along."""
-    src = F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1"))
+def _mixed(docs: DataFrame, seed: str, carried: list[str]) -> DataFrame:
+    """(row, size, source_size, target, taken): row holds the carried columns of docs, whose names so clash with none of ours."""
     keyed = (
-        docs.withColumn("_mx_size", word_count(F.col("text")))
-        .withColumn("_src", src)
-        .withColumn("_key", exponential_key(F.col("doc_id"), quality_weight(F.col("text"), F.col("_mx_size")), seed))
-        .withColumn("_tie", F.xxhash64("text"))
+        docs.select(F.struct(*[docs[c] for c in carried]).alias("row"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), docs["source"].cast("string").alias("source"))
+        .withColumn("size", word_count(F.col("text")))
+        .select(
+            "row",
+            "doc_id",
+            "size",
+            F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1")).alias("_src"),
+            exponential_key(F.col("doc_id"), quality_weight(F.col("text"), F.col("size")), seed).alias("_key"),
+            F.xxhash64("text").alias("_tie"),
+        )
         # Never null, so that the joins below do not test them for it, which would count the words again.
         .withColumn("_fine", F.coalesce(F.floor(F.log2("_key") * (COARSE * FINE)), F.lit(0)))
         .withColumn("_coarse", F.coalesce(F.floor(F.col("_fine") / FINE), F.lit(0)))
     )
     # A small histogram, stored so that the texts are read only once more, for the documents themselves.
-    fine = stored(keyed.groupBy("_src", "_coarse", "_fine").agg(F.sum("_mx_size").alias("_n")), "key-bins")
+    fine = stored(keyed.groupBy("_src", "_coarse", "_fine").agg(F.sum("size").alias("_n")), "key-bins")
     coarse = fine.groupBy("_src", "_coarse").agg(F.sum("_n").alias("_n"))
     targets = source_targets(coarse.groupBy("_src").agg(F.sum("_n").alias("source_size")))
     below = lambda by, o: F.sum("_n").over(W.partitionBy(*by).orderBy(o).rowsBetween(W.unboundedPreceding, -1))
     coarse = coarse.withColumn("_before", F.coalesce(below(["_src"], "_coarse"), F.lit(0))).drop("_n")
-    coarse = coarse.join(small_or_shuffled(targets), "_src").withColumnsRenamed({"source_size": "_mx_total", "target": "_mx_target"})
+    coarse = coarse.join(small_or_shuffled(targets), "_src")
     fine = fine.withColumn("_within", F.coalesce(below(["_src", "_coarse"], "_fine"), F.lit(0))).drop("_n")
     fine = fine.join(coarse, ["_src", "_coarse"]).withColumn("_start", F.col("_before") + F.col("_within")).drop("_before", "_within")
     by_key = W.partitionBy("_src", "_coarse", "_fine").orderBy("_key", "doc_id", "_tie").rowsBetween(W.unboundedPreceding, -1)
-    epochs = F.when(F.col("_mx_total") > 0, F.floor(F.col("_mx_target") / F.col("_mx_total"))).otherwise(F.lit(0))
-    room = F.floor("_mx_target") - F.col("_epochs") * F.col("_mx_total") - F.col("_before")
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
+    room = F.floor("target") - F.col("_epochs") * F.col("source_size") - F.col("_before")
     return (
         keyed.join(fine, ["_src", "_coarse", "_fine"])
-        .withColumn("_before", F.col("_start") + F.coalesce(F.sum("_mx_size").over(by_key), F.lit(0)))
+        .withColumn("_before", F.col("_start") + F.coalesce(F.sum("size").over(by_key), F.lit(0)))
         .withColumn("_epochs", epochs)
-        .withColumn("_mx_taken", (F.col("_epochs") * F.col("_mx_size") + F.greatest(F.lit(0), F.least(F.col("_mx_size"), room))).cast("long"))
-        .select(*docs.columns, "_mx_size", "_mx_total", "_mx_target", "_mx_taken")
+        .withColumn("taken", (F.col("_epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), room))).cast("long"))
+        .select("row", *ADDED)
     )
 
 
-ADDED = {"size": "_mx_size", "source_size": "_mx_total", "target": "_mx_target", "taken": "_mx_taken"}
+ADDED = ("size", "source_size", "target", "taken")
 
 
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
@@ -113,7 +119,7 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     Columns of docs that clash with these four names are replaced.
     """
     keep = [c for c in docs.columns if c not in ADDED]
-    return _mixed(docs.select(*keep), seed).select(*keep, *[F.col(c).alias(name) for name, c in ADDED.items()])
+    return _mixed(docs, seed, keep).select(*[F.col("row")[c].alias(c) for c in keep], *ADDED)
 
 
 def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
@@ -121,13 +127,14 @@ def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
     Where a target ends inside a document, it stays if at least half of its words are taken.
     """
-    times = F.when(F.col("_mx_size") > 0, F.floor(F.col("_mx_taken") / F.col("_mx_size") + F.lit(0.5))).otherwise(F.lit(0)).cast("int")
-    return _mixed(docs, seed).withColumn("_times", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).otherwise(F.lit(0)).cast("int")
+    mixed = _mixed(docs, seed, docs.columns).withColumn("_times", F.explode(F.array_repeat(F.lit(1), times)))
+    return mixed.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return _mixed(docs, SEED, ["doc_id"]).select("row.doc_id", *ADDED)
 
 
 OP3_SQL = r"""

@@ -10,8 +10,9 @@ table entries, looked up for whole batches at once.
 
 Nulls and ties: null and empty texts have all features 0 and are scored like any
 other; labels that are null are left out; a document with several labels trains with
-each; repeated rows score alike. Without labelled rows every score is 0.5. An empty
-table gives an empty result. Extra columns are ignored.
+each; repeated rows score alike, and where repeated ids make more rows than the bound,
+those with the least hash train the model. A very long text is read whole. Without labelled rows every score is 0.5. An empty
+table gives an empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -196,7 +197,7 @@ def sample_labels(labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
 
 def train(featured: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
     picked = small_or_shuffled(sample_labels(labels, rows), rows)
-    sample = featured.join(picked, "doc_id").select("_y", *FEATURES).orderBy("_y", *FEATURES).limit(rows).toArrow()
+    sample = featured.join(picked, "doc_id").select("doc_id", "_y", *FEATURES).orderBy(F.xxhash64("doc_id", *FEATURES), "doc_id", "_y", *FEATURES).limit(rows).toArrow()
     if not sample.num_rows:
         return None
     x = np.column_stack([sample.column(f).to_numpy() for f in FEATURES])

@@ -1,17 +1,18 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches.
 
-Each rule is a ratio of two counts. A ratio's sketch is a histogram of fixed bins
-(its integer part of 1,024ths up to 16, the rest in the last bin): sketches merge
-by adding counts, in any order, with an error of one bin. The sketch of each
-language and source gives quartiles; a document breaks a rule when its ratio lies
-beyond the upper fence, Q3 + 6 (Q3 - Q1), or the lower one where a rule has it,
+Each rule is a ratio of two counts, in 1,024ths. A ratio's sketch is a histogram of bins
+of a bounded relative error: ratios below 2 have bins of 1/1024, and each octave above has
+1,024 bins, without an upper end. Sketches merge by adding counts, in any order. The
+sketch of each language and source gives quartiles; a document breaks a rule when its ratio
+lies beyond the upper fence, Q3 + 6 (Q3 - Q1), or the lower one where a rule has it,
 and beyond the rule's least distance from the median, so that sources of even
 quality reject nothing. Groups of under 40 documents use their language's
 sketch, and languages of under 40 the sketch of all.
 
 Nulls and ties: a null text has no words and fails the base rules; a null lang or
-source is a group of its own; repeated rows are judged alike. An empty table
-gives an empty result. Extra columns are ignored.
+source is a group of its own; repeated rows are judged alike; a very long text is read
+whole. An empty table gives an empty result. Extra columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -33,7 +34,10 @@ RULES = {
     "dup_lines": ("n_dup_lines", "n_lines", True, False, 307),
     "repeat_words": ("n_repeat_words", "n_words", True, False, 205),
 }
-BINS, LAST_BIN = 1024, 16 * 1024
+#: Bins of an octave.
+BINS = 1024
+#: A fence that no ratio passes.
+NO_FENCE = 1 << 62
 FENCE = 6
 LEAST_GROUP = 40
 MIN_WORDS = 50
@@ -94,8 +98,21 @@ def with_stats(docs: DataFrame) -> DataFrame:
     return narrow.mapInArrow(_stats, f"doc_id long, lang string, source string, {STATS}")
 
 
-def ratio_bin(top: str, bottom: str) -> Column:
-    return F.least(F.floor(F.col(top) * BINS / F.greatest(F.col(bottom), F.lit(1))), F.lit(LAST_BIN)).cast("long")
+def ratio(top: str, bottom: str) -> Column:
+    """The ratio in 1,024ths, rounded down."""
+    return F.floor(F.col(top) * BINS / F.greatest(F.col(bottom), F.lit(1))).cast("long")
+
+
+def ratio_bin(q: Column) -> Column:
+    """The bin of a ratio in 1,024ths: itself below 2,048, then 1,024 for each doubling."""
+    above = F.greatest(F.length(F.bin(q)) - 11, F.lit(0))
+    return (above * BINS).cast("long") + F.call_function("shiftright", q, above)
+
+
+def bin_ratio(b: Column) -> Column:
+    """The least ratio in 1,024ths of a bin."""
+    above = F.greatest(F.floor(b / BINS) - 1, F.lit(0)).cast("int")
+    return F.call_function("shiftleft", (b - above * BINS).cast("long"), above)
 
 
 def sketches(stats: DataFrame) -> DataFrame:
@@ -103,7 +120,7 @@ def sketches(stats: DataFrame) -> DataFrame:
 
     The coarser levels merge the finer ones; only documents with words count.
     """
-    bins = F.array(*[F.struct(F.lit(k).alias("rule"), ratio_bin(r[0], r[1]).alias("bin")) for k, r in RULES.items()])
+    bins = F.array(*[F.struct(F.lit(k).alias("rule"), ratio_bin(ratio(r[0], r[1])).alias("bin")) for k, r in RULES.items()])
     fine = stats.where("n_words > 0").select("lang", "source", F.explode(bins).alias("_b")).groupBy("lang", "source", "_b.rule", "_b.bin").agg(F.count("*").alias("n"))
     # Nulls are groups: a mark beside each name tells a null from a level's blank.
     fine = fine.select(F.lit(0).alias("level"), *group_key("lang", "lang"), *group_key("source", "source"), "rule", "bin", "n")
@@ -122,14 +139,14 @@ def thresholds(hist: DataFrame) -> DataFrame:
     upto = F.sum("n").over(W.partitionBy(*by).orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
     total = F.sum("n").over(W.partitionBy(*by))
     q = hist.withColumn("_upto", upto).withColumn("_total", total)
-    at = lambda share: F.min(F.when(F.col("_upto") * 4 >= F.col("_total") * share, F.col("bin")))
+    at = lambda share: bin_ratio(F.min(F.when(F.col("_upto") * 4 >= F.col("_total") * share, F.col("bin"))))
     q = q.groupBy(*by).agg(F.max("_total").alias("docs"), at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"))
     columns = []
     for k, (_, _, high, low, least) in RULES.items():
         here = F.col("rule") == k
         up = F.greatest(F.col("q3") + FENCE * (F.col("q3") - F.col("q1")), F.col("q2") + least)
         down = F.least(F.col("q1") - FENCE * (F.col("q3") - F.col("q1")), F.col("q2") - least)
-        columns += [F.max(F.when(here, up if high else F.lit(LAST_BIN))).alias(f"{k}_high"), F.max(F.when(here, down if low else F.lit(-1))).alias(f"{k}_low")]
+        columns += [F.max(F.when(here, up if high else F.lit(NO_FENCE))).alias(f"{k}_high"), F.max(F.when(here, down if low else F.lit(-1))).alias(f"{k}_low")]
     return q.groupBy("level", "lang", "source").agg(F.max("docs").alias("docs"), *columns)
 
 
@@ -146,7 +163,7 @@ def judged(stats: DataFrame, fences: DataFrame) -> DataFrame:
     out = out.join(small_or_shuffled(level(1, ["lang"])), "_lang", "left")
     out = out.join(F.broadcast(level(2, [])), F.lit(True), "left")  # one row
     fence = lambda x: F.coalesce(*[F.col(f"_{k}_{x}") for k in range(3)])
-    broken = [F.when((ratio_bin(r[0], r[1]) > fence(f"{k}_high")) | (ratio_bin(r[0], r[1]) < fence(f"{k}_low")), F.lit(k)) for k, r in RULES.items()]
+    broken = [F.when((ratio(r[0], r[1]) > fence(f"{k}_high")) | (ratio(r[0], r[1]) < fence(f"{k}_low")), F.lit(k)) for k, r in RULES.items()]
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.select(*stats.columns, failed.alias("base_failed"), F.array_compact(F.array(*broken)).alias("broken")).withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
 
@@ -162,21 +179,32 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ratio_sql(top: str, bottom: str) -> str:
-    return f"least({top} * {BINS} // greatest({bottom}, 1), {LAST_BIN})"
+    return f"({top} * {BINS} // greatest({bottom}, 1))"
+
+
+def _bin_sql(q: str) -> str:
+    above = f"greatest(length(bin({q}::BIGINT)) - 11, 0)"
+    return f"{above} * {BINS} + ({q}::BIGINT >> {above})"
+
+
+def _value_sql(b: str) -> str:
+    above = f"greatest({b} // {BINS} - 1, 0)"
+    return f"(({b} - {above} * {BINS})::BIGINT << {above})"
 
 
 def oracle_sql() -> str:
     """The same counts, histograms and fences in SQL."""
-    long = " UNION ALL ".join(f"SELECT lg, sr, '{k}' AS rule, {_ratio_sql(r[0], r[1])} AS bin FROM g WHERE n_words > 0" for k, r in RULES.items())
+    long = " UNION ALL ".join(f"SELECT lg, sr, '{k}' AS rule, {_bin_sql(_ratio_sql(r[0], r[1]))} AS bin FROM g WHERE n_words > 0" for k, r in RULES.items())
     cases = []
     for k, (_, _, high, low, least) in RULES.items():
-        up = f"greatest(q3 + {FENCE} * (q3 - q1), q2 + {least})" if high else str(LAST_BIN)
+        up = f"greatest(q3 + {FENCE} * (q3 - q1), q2 + {least})" if high else str(NO_FENCE)
         down = f"least(q1 - {FENCE} * (q3 - q1), q2 - {least})" if low else "-1"
         cases.append(f"max(CASE WHEN rule = '{k}' THEN {up} END) AS {k}_high, max(CASE WHEN rule = '{k}' THEN {down} END) AS {k}_low")
     names = [f"{k}_{s}" for k in RULES for s in ("high", "low")]
     pick = ", ".join(f"coalesce(a.{x}, b.{x}, c.{x}) AS {x}" for x in names)
     broken = ", ".join(f"CASE WHEN {_ratio_sql(r[0], r[1])} > {k}_high OR {_ratio_sql(r[0], r[1])} < {k}_low THEN '{k}' END" for k, r in RULES.items())
     word = r"[^\x20\x09-\x0D]+"
+    at = lambda share: _value_sql(f"min(CASE WHEN upto * 4 >= total * {share} THEN bin END)")
     return rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text,
@@ -203,8 +231,7 @@ s AS (
 u AS (
   SELECT *, sum(n) OVER (PARTITION BY level, lg, sr, rule ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY level, lg, sr, rule) AS total FROM s),
 q AS (
-  SELECT level, lg, sr, rule, max(total) AS docs, min(CASE WHEN upto * 4 >= total THEN bin END) AS q1,
-         min(CASE WHEN upto * 4 >= total * 2 THEN bin END) AS q2, min(CASE WHEN upto * 4 >= total * 3 THEN bin END) AS q3
+  SELECT level, lg, sr, rule, max(total) AS docs, {at(1)} AS q1, {at(2)} AS q2, {at(3)} AS q3
   FROM u GROUP BY ALL),
 f AS (SELECT level, lg, sr, max(docs) AS docs, {", ".join(cases)} FROM q GROUP BY ALL),
 j AS (

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import duckdb
+
 from breezeframe.llm import chat
 
 SCHEMA = "conv_id long, turn long, role string, text string, path string"
@@ -59,3 +61,27 @@ def test_digest_of_the_fixed_conversation(spark):
     out = chat.format_conversations(spark.createDataFrame([(-1, 0, "user", said, ""), (-1, 1, "assistant", said, "")], SCHEMA))
     text = "".join(x["text"] for x in chat.read_back(out.select("path", "formatted", "loss_spans")).where("in_loss").collect())
     assert hashlib.sha256(text.encode()).hexdigest() == hashlib.sha256(said.encode()).hexdigest()
+
+
+def test_any_conversation_id(spark):
+    """Ids at the ends of the range, those next to the null one's old stand-in, and null are conversations of their own."""
+    ids = [None, -2, -1, 0, 1 << 60, -(1 << 63), (1 << 63) - 1]
+    rows = [(i, k, ("user", "assistant")[k], f"{i} says {k}", "") for i in ids for k in (0, 1)]
+    out = chat.format_conversations(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(out) == len(ids)
+    for r in out:
+        assert r["formatted"] == "".join(f"<|im_start|>{role}\n{r['conv_id']} says {k}<|im_end|>\n" for k, role in enumerate(("user", "assistant")))
+
+
+def test_clashing_columns(spark):
+    rows = [(1, 0, "user", "q", "x"), (1, 1, "assistant", "a", "y")]
+    given = spark.createDataFrame(rows, SCHEMA).withColumnsRenamed({"path": "id"}).selectExpr("*", "1 AS root", "2 AS _n", "3 AS score", "4 AS parent")
+    assert chat.format_conversations(given).count() == 1
+
+
+def test_agrees_with_sql(spark):
+    data = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{data}/conversations.parquet'")
+    got, want = chat.op9_chat(spark, data), con.sql(chat.OP9_SQL)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(want.fetchall())

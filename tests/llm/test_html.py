@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from breezeframe.llm import html_extract as he
@@ -53,9 +55,32 @@ def test_decoding_keeps_nothing_below_what_it_drops(model):
 
 def test_broken_markup_and_nulls(spark, model):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p"), (4, "u", "no markup at all"), (5, "u", "</div></p><article><p>x &#233; y</article>"), (6, "u", "<script>never closed"), (7, "u", "<article><p>" + "word " * 50_000), (7, "u", "<div>" * 3000 + "deep"), (None, "u", "<!-- open")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumnRenamed("x", "x")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")
     out = he.extract_pages(df, model).collect()
     assert len(out) == len(rows) and all(r["text"] is not None for r in out)
     by = {(r["page_id"], len(r["text"]) > 100): r["text"] for r in out}
     assert by[(1, False)] == "" and by[(5, False)] == "x é y" and by[(7, True)].count("word") == 50_000
     assert he.extract_pages(df.limit(0), model).count() == 0
+
+
+def test_quotes_count_after_an_equals_sign_only():
+    said = lambda h: [t for _, t in he.parse(h).runs if t]
+    assert said("<p title=don't>Hello there.</p><p>It's late.</p>") == ["Hello there.", "It's late."]
+    assert said("<p a=\"x>y\" b='>'>k</p></q>l") == ["k", "l"] and said("a < b <c") == ["a < b "]
+
+
+@pytest.mark.parametrize("make", [lambda n: "<a " * n, lambda n: "<div>" * n + "</x>" * n, lambda n: "<b>" * n + "<hr>" * n, lambda n: "<!--" * n, lambda n: '<a b="' * n, lambda n: "<li><b>" * n])
+def test_parsing_takes_linear_time(make):
+    began = time.process_time()
+    he.parse(make(40_000))
+    assert time.process_time() - began < 10
+
+
+def test_query(spark, model):
+    """Texts of the query are those of one page at a time, and its counts are theirs; most equal the article's own text."""
+    data = "/root/testdata/sf0.001"
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
+    got = he.op5_html(spark, data).collect()
+    assert sorted(r["page_id"] for r in got) == sorted(pages)
+    for r in got:
+        assert r["text"] == he.extract([pages[r["page_id"]]["html"] or ""], model)[0] and r["n_chars"] == len(r["text"]) and r["url"] == pages[r["page_id"]]["url"]

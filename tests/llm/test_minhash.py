@@ -73,3 +73,29 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r["id"]: r["root"] for r in minhash.components(edges).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def test_classes_of_null_ids_only(spark, documents):
+    """Near copies of a document under null ids are linked with it; rows of one id with other texts stay apart."""
+    base = WORDS[:60]
+    near = [" ".join([*base[:-1], w]) for w in ("x1", "x2")]
+    rows = [(5, " ".join(base)), (None, near[0]), (None, near[1]), (None, near[1]), (None, " ".join(WORDS[100:140])), (7, " ".join(WORDS[200:240])), (7, near[0])]
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(documents(rows), 5).collect()), key=str)
+    assert got == sorted([(5, 5, True), *[(None, 5, False)] * 3, (None, None, True), (7, 7, True), (7, 5, False)], key=str)
+    left = sorted(((r["doc_id"], r["text"]) for r in minhash.without_near_duplicates(documents(rows), 5).collect()), key=str)
+    assert left == sorted([rows[0], rows[4], rows[5]], key=str)
+
+
+def test_one_row_of_repeated_ones_stays(spark, documents):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, None), (2, None), (None, "p q r s t"), (None, "p q r s t"), (3, "")]
+    docs = documents(rows).withColumnsRenamed({"lang": "name", "source": "row", "n_chars": "root"})
+    left = minhash.without_near_duplicates(docs, 5)
+    assert left.columns == docs.columns and {r["row"] for r in left.collect()} == {"s"}
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([rows[0], (2, None), (2, None), rows[4], rows[6]], key=str)
+
+
+def test_query(spark):
+    data = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], (r["text"] or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.op1_near_duplicates(spark, data).collect()}
+    assert got == brute(rows, 4)

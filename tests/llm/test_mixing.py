@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 
 from breezeframe.llm import mixing
@@ -62,3 +63,23 @@ def test_quality_draws_first(spark):
     out = [r for r in mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect() if r["source"] == "c"]
     rate = lambda odd: sum(r["taken"] for r in out if r["doc_id"] % 2 == odd) / sum(r["size"] for r in out if r["doc_id"] % 2 == odd)
     assert out[0]["target"] < out[0]["source_size"] and rate(1) > 1.3 * rate(0)
+
+
+def test_clashing_columns(spark):
+    """Columns of the caller come back as they were, whatever their names."""
+    names = ["_src", "_key", "_tie", "_fine", "_coarse", "_before", "_epochs", "row", "target", "taken"]
+    docs = spark.createDataFrame([(i, "word " * 5, "abc"[i % 3]) for i in range(60)], "doc_id long, text string, source string").selectExpr("*", *[f"'own {n}' AS `{n}`" for n in names])
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns and out.count() > 0
+    assert all(r[n] == f"own {n}" for r in out.collect() for n in names)
+    assert all(r[n] == f"own {n}" for r in mixing.mix(docs).collect() for n in names[:8])
+
+
+def test_agrees_with_sql(spark):
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    got, want = mixing.op3_mixing(spark, data), con.sql(mixing.OP3_SQL)
+    assert got.columns == want.columns
+    for a, b in zip(sorted(map(tuple, got.collect())), sorted(want.fetchall()), strict=True):
+        assert a == pytest.approx(b)

@@ -2,10 +2,13 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from breezeframe.llm import quality_gam as gam
 from breezeframe.llm import quality_rules as rules
 
@@ -78,3 +81,58 @@ def test_held_out_fold_and_scores(spark, documents):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {x["score"] for x in gam.classify(documents(rows[:5]), none).collect()} == {0.5}
     assert gam.classify(documents([]), labels).count() == 0
+
+
+def test_bins_have_bounded_error(spark):
+    """Every ratio lies in its bin, bins are in order, and their width is at most a 1,024th of the ratio."""
+    values = sorted({*range(0, 5000, 7), *(1 << k for k in range(40)), *((1 << k) - 1 for k in range(1, 40)), 3 * 10**12})
+    got = spark.createDataFrame([(v,) for v in values], "q long").select("q", rules.ratio_bin(F.col("q")).alias("b"), rules.bin_ratio(rules.ratio_bin(F.col("q"))).alias("low")).orderBy("q").collect()
+    assert all(r["low"] <= r["q"] <= r["low"] * (1 + 1 / 1024) for r in got)
+    assert all(a["b"] <= b["b"] for a, b in zip(got, got[1:]))
+
+
+def test_long_words_do_not_saturate(spark, documents):
+    """Texts in a script without spaces: words of some 40 characters are normal there, words of 2,000 aren't."""
+    r = random.Random(8)
+    word = lambda n: "".join(r.choices("天地人山水火土木金月日年", k=n))
+    rows = [(i, " ".join(word(r.randint(30, 50)) for _ in range(60)), "ja", "s") for i in range(80)] + [(900, " ".join(word(2000) for _ in range(60)), "ja", "s")]
+    out = {x["doc_id"]: x for x in rules.apply_rules(documents(rows)).collect()}
+    assert out[900]["broken"] == ["word_length"] and all(out[i]["kept"] for i in range(80))
+
+
+def test_rules_agree_with_sql_and_ignore_other_columns(spark):
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    got, want = rules.op2_quality_rules(spark, data), con.sql(rules.OP2_SQL)
+    rows = sorted(map(tuple, got.collect()))
+    assert got.columns == want.columns and rows == sorted(want.fetchall())
+    docs = spark.read.parquet(f"{data}/documents.parquet").selectExpr("*", "1 AS rule", "2 AS level", "3 AS n_words", "4 AS docs")
+    assert rules.apply_rules(docs).where("kept").count() == got.where("kept").count()
+
+
+def test_bound_on_sample_favours_no_label(spark, documents):
+    """Repeated ids make more rows than the bound; both labels stay in the sample."""
+    rows = [(i % 40, ("good words here " if i % 40 % 2 else "BAD!! ") * (5 + i % 7)) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    model = gam.train(gam.with_features(documents(rows)), labels, 60)
+    assert 0.2 < 1 / (1 + np.exp(-model.base)) < 0.8
+
+
+def test_scores_follow_the_tables(spark):
+    """The query's held-out scores are the sums of table entries, looked up one by one; they tell labels apart."""
+    data = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r["doc_id"]: r for r in gam.op6_quality(spark, data).collect()}
+    model = gam.train(gam.with_features(docs), labels)
+    quality = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    right = []
+    for r in docs.collect():
+        x = gam.features(r["text"] or "")
+        total = model.base + sum(t[sum(c <= v for c in cuts)] for t, cuts, v in zip(model.tables, model.cuts, x))
+        total += sum(t[sum(c <= x[i] for c in model.pair_cuts[i]), sum(c <= x[j] for c in model.pair_cuts[j])] for (i, j), t in zip(model.pairs, model.pair_tables))
+        mine = got[r["doc_id"]]
+        assert abs(mine["score"] - 1 / (1 + np.exp(-total))) < 1e-9 and mine["predicted"] == int(mine["score"] >= 0.3)
+        if mine["held_out"] and quality.get(r["doc_id"]) is not None:
+            right.append(mine["predicted"] == quality[r["doc_id"]])
+    assert len(right) > 30 and sum(right) >= 0.95 * len(right)
