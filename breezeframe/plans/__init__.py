@@ -1,6 +1,6 @@
 """All queries of the engine and the SQL that must agree with them."""
 
-from . import evaluation, feeds, hourly, models, records, streams
+from . import evaluation, feeds, hourly, models, records, streams, trials
 from .hourly import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "evaluation", "feeds", "hourly", "models", "records", "streams"]
+__all__ = ["ORACLE_SQL", "QUERIES", "evaluation", "feeds", "hourly", "models", "records", "streams", "trials"]
