@@ -17,7 +17,7 @@ def trim_words(text: Column, limit: int) -> Column:
     """The first words; cut back to the last whole sentence if there is one, else marked with dots."""
     w = words(text)
     head = F.array_join(F.slice(w, 1, limit), " ")
-    whole = F.regexp_extract(head, r"^(.*[.!?])", 1)
+    whole = F.regexp_extract(head, r"(?s)^(.*[.!?])", 1)
     return F.when(F.size(w) <= limit, F.array_join(w, " ")).when(whole != "", whole).otherwise(F.concat(head, F.lit("...")))
 
 
@@ -47,7 +47,7 @@ def defects(text: Column, low: int = 35, high: int = 80) -> Column:
         F.array(
             F.when(n < low, F.lit("too_short")),
             F.when(n > high, F.lit("too_long")),
-            F.when(F.lower(text).rlike(r"\b(" + "|".join(HEDGES) + r")\b"), F.lit("hedging")),
+            F.when(F.lower(text).rlike(r"(?<![0-9A-Za-z_])(" + "|".join(HEDGES) + r")(?![0-9A-Za-z_])"), F.lit("hedging")),
             F.when(F.contains(text, F.lit("!!")), F.lit("shouting")),
             F.when(F.exists(numbers(text), lambda x: x.cast("double") > 500), F.lit("number_out_of_range")),
         )

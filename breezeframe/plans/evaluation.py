@@ -256,14 +256,6 @@ def day_split(spark, d):
     return out.select("series", "t", F.col("day_no").cast("long").alias("day_no"), part.alias("part"))
 
 
-@query(with_views(INDEX_SQL, "SELECT series, sha256(string_agg(strftime(t, '%Y-%m-%dT%H:%M'), ',' ORDER BY t)) AS digest, count(*)::BIGINT AS n FROM idx WHERE CAST(t AS DATE) = DATE '2024-01-05' GROUP BY series"))
-def origins_digest(spark, d):
-    """A digest of one day's hours: at most 24 of a series meet in one row."""
-    rows = h.indexed(spark, d).where(F.col("t").cast("date") == F.lit("2024-01-05").cast("date"))
-    stamps = F.array_sort(F.collect_list(F.date_format("t", "yyyy-MM-dd'T'HH:mm")))
-    return rows.groupBy("series").agg(F.sha2(F.array_join(stamps, ",").cast("binary"), 256).alias("digest"), F.count("*").alias("n"))
-
-
 def digest_of_days(rows):
     """(series, digest, n) of rows (series, t): each day's sorted hours make a digest, and those in order of days the whole one.
 
@@ -278,9 +270,8 @@ def digest_of_days(rows):
     return days.groupBy("series").agg(digest(inorder).alias("digest"), F.sum("k").alias("n"))
 
 
-@query(with_views(INDEX_SQL, "SELECT series, sha256(string_agg(digest, ',' ORDER BY day)) AS digest, sum(k)::BIGINT AS n FROM (SELECT series, CAST(t AS DATE) AS day, sha256(string_agg(strftime(t, '%Y-%m-%dT%H:%M'), ',' ORDER BY t)) AS digest, count(*) AS k FROM idx GROUP BY ALL) GROUP BY series"))
-def origins_digest_all(spark, d):
-    """As origins_digest, over all days."""
+@query(with_views(INDEX_SQL, "SELECT series, sha256(string_agg(digest, ',' ORDER BY day)) AS digest, sum(k)::BIGINT AS n FROM (SELECT series, CAST(t AS DATE) AS day, sha256(string_agg(strftime(t, '%Y-%m-%dT%H:%M'), ',' ORDER BY t)) AS digest, count(*) AS k FROM idx GROUP BY ALL) GROUP BY series"), also="origins_digest_all")
+def origins_digest(spark, d):
     return digest_of_days(h.indexed(spark, d).select("series", "t"))
 
 

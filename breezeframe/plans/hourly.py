@@ -37,13 +37,14 @@ def _even_handed(sql: str) -> str:
     return "".join(out) + sql[at:]
 
 
-def query(sql: str | None = None):
-    """Register a function as the query of its name, with the SQL that must agree."""
+def query(sql: str | None = None, also: str | None = None):
+    """Register a function as the query of its name (and of a second one), with the SQL that must agree."""
 
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = _even_handed(sql)
+        for name in filter(None, (f.__name__, also)):
+            QUERIES[name] = f
+            if sql is not None:
+                ORACLE_SQL[name] = _even_handed(sql)
         return f
 
     return add
@@ -298,14 +299,8 @@ def walk_eligibility(spark, d):
 # --- joins
 
 
-@query(with_views(SLOTS_SQL, "SELECT series, t, round(instant, 6) AS instant, temp_c, precip_mm, is_day FROM slots WHERE hour(t) <> 17"))
+@query(with_views(SLOTS_SQL, "SELECT series, t, round(instant, 6) AS instant, temp_c, precip_mm, is_day FROM slots"), also="join_left_weather_all")
 def join_left_weather(spark, d):
-    return slots(spark, d).where(F.hour("t") != 17).select("series", "t", r6("instant"), "temp_c", "precip_mm", "is_day")
-
-
-@query(with_views(SLOTS_SQL, "SELECT series, t, round(instant, 6) AS instant, temp_c, precip_mm, is_day FROM slots"))
-def join_left_weather_all(spark, d):
-    """As join_left_weather, with every hour of the air."""
     return slots(spark, d).select("series", "t", r6("instant"), "temp_c", "precip_mm", "is_day")
 
 

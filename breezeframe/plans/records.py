@@ -112,13 +112,14 @@ def label_coverage(spark, d):
     return lost.select("doc_id").distinct().agg(F.count("*").alias("missing"))
 
 
-_W40 = "list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')"
+# Both engines' regular expressions agree on these classes, which are spelled out in ASCII.
+_WORDS = r"list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')"
+_JOINED = "CASE WHEN text IS NOT NULL THEN coalesce(array_to_string({}, ' '), '') END"
 
 
-@query(f"SELECT doc_id, CASE WHEN len(w) <= 40 THEN array_to_string(w, ' ') WHEN regexp_extract(h, '^(.*[.!?])', 1) <> '' THEN regexp_extract(h, '^(.*[.!?])', 1) ELSE h || '...' END AS short FROM (SELECT doc_id, {_W40} AS w, array_to_string(({_W40})[1:40], ' ') AS h FROM documents WHERE lang = 'en')")
+@query(f"SELECT doc_id, CASE WHEN len(w) <= 40 THEN {_JOINED.format('w')} WHEN regexp_extract(h, '^(.*[.!?])', 1) <> '' THEN regexp_extract(h, '^(.*[.!?])', 1) ELSE h || '...' END AS short FROM (SELECT doc_id, text, w, {_JOINED.format('w[1:40]')} AS h FROM (SELECT doc_id, text, {_WORDS} AS w FROM documents))", also="trimmed_texts_all")
 def trimmed_texts(spark, d):
-    docs = ad.table(spark, d, "documents").where("lang = 'en'")
-    return docs.select("doc_id", tx.trim_words(F.col("text"), 40).alias("short"))
+    return ad.table(spark, d, "documents").select("doc_id", tx.trim_words(F.col("text"), 40).alias("short"))
 
 
 @query(r"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '(?i)[^.!?]* (?:the|les|der) [^.!?]*[.!?]', '', 'g'), '\s+', ' ', 'g')) AS kept FROM conversations")
@@ -126,37 +127,18 @@ def dropped_sentences(spark, d):
     return ad.table(spark, d, "conversations").select("conv_id", "turn", tx.drop_sentences(F.col("text"), ("the", "les", "der")).alias("kept"))
 
 
-@query(r"""SELECT doc_id, array_to_string(list_filter([CASE WHEN n < 35 THEN 'too_short' END, CASE WHEN n > 80 THEN 'too_long' END, CASE WHEN regexp_matches(lower(text), '\b(generally|more or less|it seems|perhaps)\b') THEN 'hedging' END, CASE WHEN contains(text, '!!') THEN 'shouting' END,
-  CASE WHEN len(list_filter(regexp_extract_all(text, '(?:^|[^\w.])(\d+(?:\.\d+)?)', 1), lambda x: CAST(x AS DOUBLE) > 500)) > 0 THEN 'number_out_of_range' END], lambda x: x IS NOT NULL), ',') AS codes
-FROM (SELECT doc_id, text, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n FROM documents WHERE lang IN ('en', 'de'))""")
-def text_defects(spark, d):
-    docs = ad.table(spark, d, "documents").where("lang IN ('en', 'de')")
-    return docs.select("doc_id", F.array_join(tx.defects(F.col("text")), ",").alias("codes"))
-
-
-@query(r"""WITH c AS (SELECT doc_id, unnest(list_filter([CASE WHEN n < 35 THEN 'too_short' END, CASE WHEN n > 80 THEN 'too_long' END, CASE WHEN contains(text, '!!') THEN 'shouting' END], lambda x: x IS NOT NULL)) AS code
-FROM (SELECT doc_id, text, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n FROM documents))
-SELECT code, count(*)::BIGINT AS n FROM c GROUP BY code""")
-def defect_counts(spark, d):
-    docs = ad.table(spark, d, "documents").select(F.explode(tx.defects(F.col("text"))).alias("code")).where("code IN ('too_short', 'too_long', 'shouting')")
-    return docs.groupBy("code").agg(F.count("*").alias("n"))
-
+_CODES = rf"""SELECT doc_id, list_filter([CASE WHEN n < 35 THEN 'too_short' END, CASE WHEN n > 80 THEN 'too_long' END, CASE WHEN regexp_matches(lower(text), '(^|[^0-9A-Za-z_])({"|".join(tx.HEDGES)})($|[^0-9A-Za-z_])') THEN 'hedging' END, CASE WHEN contains(text, '!!') THEN 'shouting' END,
+  CASE WHEN len(list_filter(regexp_extract_all(text, '(?:^|[^0-9A-Za-z_.])([0-9]+(?:\.[0-9]+)?)', 1), lambda x: TRY_CAST(x AS DOUBLE) > 500)) > 0 THEN 'number_out_of_range' END], lambda x: x IS NOT NULL) AS codes
+FROM (SELECT doc_id, text, len({_WORDS}) AS n FROM documents)"""
 
-# The same over all rows and codes. DuckDB's regular expressions differ outside ASCII, so these have no SQL.
 
-
-@query()
-def trimmed_texts_all(spark, d):
-    return ad.table(spark, d, "documents").select("doc_id", tx.trim_words(F.col("text"), 40).alias("short"))
-
-
-@query()
-def text_defects_all(spark, d):
+@query(f"SELECT doc_id, coalesce(array_to_string(codes, ','), '') AS codes FROM ({_CODES})", also="text_defects_all")
+def text_defects(spark, d):
     return ad.table(spark, d, "documents").select("doc_id", F.array_join(tx.defects(F.col("text")), ",").alias("codes"))
 
 
-@query()
-def defect_counts_all(spark, d):
+@query(f"SELECT code, count(*)::BIGINT AS n FROM (SELECT unnest(codes) AS code FROM ({_CODES})) GROUP BY code", also="defect_counts_all")
+def defect_counts(spark, d):
     return ad.table(spark, d, "documents").select(F.explode(tx.defects(F.col("text"))).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
 
 
@@ -173,15 +155,8 @@ def canonical_names_dates(spark, d):
     return o.select("o_orderkey", F.try_element_at(known, F.lower(F.trim("o_orderpriority"))).alias("alias"), F.date_format(t, "HH:mm").alias("clock"), F.date_format(t, "d MMM yyyy").alias("spoken"), ((F.hour(t) >= 6) & (F.hour(t) < 19)).alias("daylight"))
 
 
-@query("SELECT vec_id, list_position(p, list_max(p)) - 1 AS top, round(list_max(p), 5) AS best FROM (SELECT vec_id, list_transform(embedding[1:6], lambda x: abs(x)::DOUBLE) AS p FROM embeddings)")
+@query("SELECT vec_id, list_position(p, list_max(p)) - 1 AS top, round(list_max(p), 5) AS best FROM (SELECT vec_id, list_transform(embedding, lambda x: abs(x)::DOUBLE) AS p FROM embeddings)", also="argmax_vector_all")
 def argmax_vector(spark, d):
-    p = F.transform(F.slice("embedding", 1, 6), lambda x: F.abs(x).cast("double"))
-    return ad.table(spark, d, "embeddings").withColumn("p", p).select("vec_id", (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("top"), rounded(F.array_max("p"), 5).alias("best"))
-
-
-@query("SELECT vec_id, list_position(p, list_max(p)) - 1 AS top, round(list_max(p), 5) AS best FROM (SELECT vec_id, list_transform(embedding, lambda x: abs(x)::DOUBLE) AS p FROM embeddings)")
-def argmax_vector_all(spark, d):
-    """As argmax_vector, over the whole vector."""
     p = F.transform("embedding", lambda x: F.abs(x).cast("double"))
     return ad.table(spark, d, "embeddings").withColumn("p", p).select("vec_id", (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("top"), rounded(F.array_max("p"), 5).alias("best"))
 
