@@ -58,6 +58,27 @@ def particle_ratio(pm25: Column, pm10: Column) -> Column:
     return F.when(pm25.isNotNull() & pm10.isNotNull(), F.least(F.greatest(ratio, F.lit(0.0)), F.lit(1.0)))
 
 
+def dew_depression(temp: Column, humidity: Column) -> Column:
+    """Temperature less the dew point, by the Magnus formula."""
+    alpha = 17.27 * temp / (temp + 237.3) + F.ln(F.greatest(F.least(humidity, F.lit(100.0)), F.lit(0.01)) / 100.0)
+    return temp - 237.3 * alpha / (17.27 - alpha)
+
+
+def dew_depression_by_humidity(temp: Column, humidity: Column) -> Column:
+    """A fifth of a degree for each percent of humidity that is lacking, where the temperature is known."""
+    return F.when(temp.isNotNull(), (100.0 - humidity) / 5.0)
+
+
+def ventilation(temp: Column, wind: Column) -> Column:
+    # greatest() passes nulls over.
+    return F.when(temp.isNotNull(), F.greatest(temp, F.lit(5.0)) * wind)
+
+
+def calm_stagnation(humidity: Column, wind: Column) -> Column:
+    """As stagnation, but with one added to the wind."""
+    return (humidity / 100.0) / (wind + 1.0)
+
+
 def cyclic(x: Column, period: int) -> tuple[Column, Column]:
     angle = 2.0 * math.pi * x / float(period)
     return F.sin(angle), F.cos(angle)

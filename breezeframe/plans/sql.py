@@ -30,7 +30,7 @@ tr AS (SELECT *, {ix.ordinal_sql('effective')} AS band_e FROM te)"""
 #: Air hours with their weather, as the product joins them: hours without weather keep NULLs.
 SLOTS_SQL = f"""{TRAILING_SQL},
 {WEATHER_SQL},
-slots AS (SELECT tr.*, temp_c, apparent_c, precip_mm, precip_prob, humidity, wind_kmh, weather_code, is_day FROM tr LEFT JOIN wx USING (series, t))"""
+slots AS (SELECT tr.*, temp_c, apparent_c, precip_mm, precip_prob, humidity, wind_kmh, weather_code, is_day, uv_index FROM tr LEFT JOIN wx USING (series, t))"""
 
 #: Rows labelled with the instantaneous band six rows on, and the persistence forecast.
 LABELLED_SQL = f"""{SLOTS_SQL},

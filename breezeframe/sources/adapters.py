@@ -39,7 +39,7 @@ def air(spark: SparkSession, sf_dir: str, series: int | None = 4) -> DataFrame:
 
 
 def weather(spark: SparkSession, sf_dir: str, series: int | None = 4) -> DataFrame:
-    """(series, t, temp_c, apparent_c, precip_mm, precip_prob, humidity, wind_kmh, weather_code, is_day); no hour 11."""
+    """(series, t, temp_c, apparent_c, precip_mm, precip_prob, humidity, wind_kmh, weather_code, is_day, uv_index); no hour 11."""
     key = F.col("user_id") if series is None else F.col("user_id") % series
     e = table(spark, sf_dir, "events").select(key.cast("int").alias("series"), hour_of(F.col("ts")).alias("t"), F.get_json_object("props", "$.k").cast("int").alias("k"))
     g = e.where(F.hour("t") != 11).groupBy("series", "t").agg(F.sum("k").alias("s"), F.min("k").alias("m"), F.count("*").alias("n"))
@@ -55,6 +55,7 @@ def weather(spark: SparkSession, sf_dir: str, series: int | None = 4) -> DataFra
         (F.col("n") % 25).cast("double").alias("wind_kmh"),
         F.get(F.array(*map(F.lit, CODES)), (F.col("s") % len(CODES)).cast("int")).alias("weather_code"),
         F.hour("t").between(6, 18).cast("int").alias("is_day"),
+        F.when(F.hour("t").between(6, 18), (F.col("s") % 12).cast("double")).otherwise(0.0).alias("uv_index"),
     )
 
 
@@ -91,7 +92,7 @@ wx AS (
   SELECT series, t, (12 + s % 28)::DOUBLE AS temp_c, (12 + s % 28 + n % 7)::DOUBLE AS apparent_c, (s % 40)::DOUBLE / 10.0::DOUBLE AS precip_mm,
          (s % 100)::DOUBLE AS precip_prob, (30 + m % 70)::DOUBLE AS humidity, (n % 25)::DOUBLE AS wind_kmh,
          [{', '.join(map(str, CODES))}][CAST(s % {len(CODES)} AS INTEGER) + 1] AS weather_code,
-         CASE WHEN hour(t) BETWEEN 6 AND 18 THEN 1 ELSE 0 END AS is_day
+         CASE WHEN hour(t) BETWEEN 6 AND 18 THEN 1 ELSE 0 END AS is_day, CASE WHEN hour(t) BETWEEN 6 AND 18 THEN (s % 12)::DOUBLE ELSE 0.0::DOUBLE END AS uv_index
   FROM wx0)"""
 PARKS_SQL = """parks AS (
   SELECT s_suppkey AS park_id, s_name AS name, 12.80::DOUBLE + (s_suppkey * 37 % 400)::DOUBLE / 1000.0::DOUBLE AS lat, 77.40::DOUBLE + (s_suppkey * 53 % 400)::DOUBLE / 1000.0::DOUBLE AS lon,
