@@ -31,7 +31,7 @@ def model_logistic(spark, d):
 @query()
 def model_forest(spark, d):
     train, test = parts(spark, d)
-    return hit_rate(mo.forest().fit(train).transform(test), "forest")
+    return hit_rate(mo.forest().fit(mo.with_class_weights(train)).transform(test), "forest")
 
 
 @query()
@@ -46,7 +46,7 @@ def model_blend(spark, d):
     train, test = parts(spark, d)
     drop = ["rawPrediction", "probability", "prediction", "raw", "features", *[f"{c}_f" for c in mo.INPUTS]]
     one = mo.probabilities(mo.logistic().fit(train).transform(test), "p1").drop(*drop)
-    two = mo.probabilities(mo.forest().fit(train).transform(one), "p2").drop(*drop)
+    two = mo.probabilities(mo.forest().fit(mo.with_class_weights(train)).transform(one), "p2").drop(*drop)
     return hit_rate(two.withColumn("prediction", mo.moderate_rule(mo.blend([("p1", 0.5), ("p2", 0.5)]), 0.35).cast("double")), "blend")
 
 
