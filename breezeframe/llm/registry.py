@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, html_extract, line_dedup, media, minhash, mixing, packing, pii, quality_gam, quality_rules
+from . import chat, html_extract, line_dedup, media, minhash, mixing, packing, pii, quality_gam, quality_rules, warc
 
 QUERIES = {
     "op1_near_duplicates": minhash.op1_near_duplicates,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_chat": chat.op9_chat,
     "op10_media": media.op10_media,
+    "op11_warc": warc.op11_warc,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op3_mixing": mixing.OP3_SQL,
     "op4_line_dedup": line_dedup.OP4_SQL,
     "op9_chat": chat.OP9_SQL,
+    "op11_warc": warc.OP11_SQL,
 }
