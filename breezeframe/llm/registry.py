@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, collocations, html_extract, line_dedup, media, minhash, mixing, packing, pii, quality_gam, quality_rules, warc
+from . import alignment, chat, collocations, html_extract, line_dedup, media, minhash, mixing, packing, pii, quality_gam, quality_rules, warc
 
 QUERIES = {
     "op1_near_duplicates": minhash.op1_near_duplicates,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_chat": chat.op9_chat,
     "op10_media": media.op10_media,
     "op11_warc": warc.op11_warc,
+    "op12_alignment": alignment.op12_alignment,
     "op13_collocations": collocations.op13_collocations,
 }
 
