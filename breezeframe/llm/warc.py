@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .common import discard, shared_folder, stored, table
+from .common import discard, shared_folder, small_or_shuffled, stored, table
 from .media import _open
 
 #: Smaller payloads are never revisits.
@@ -348,9 +348,10 @@ def range_bounds(heads: DataFrame, ranges: int) -> list[tuple[str, int]]:
 
 
 def first_pages(heads: DataFrame) -> DataFrame:
-    """(digest, _f): the page that is the response of each payload that several rows share."""
-    own = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", F.col("url").isNull().alias("no_url"), "url")
-    return heads.where(F.col("n_bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.count("*").alias("_rows"), F.min(own).alias("_f")).where("_rows > 1").drop("_rows")
+    """(digest, _id, _url): the page that is the response of each payload that several rows share; rows of fixed width."""
+    own = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", F.md5(F.coalesce("url", F.lit("")).cast("binary")).alias("url"))
+    shared = heads.where(F.col("n_bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.count("*").alias("_rows"), F.min(own).alias("_f")).where("_rows > 1")
+    return shared.select("digest", F.col("_f.page_id").alias("_id"), F.col("_f.url").alias("_url"))
 
 
 def records_of(pages: DataFrame, heads: DataFrame) -> DataFrame:
@@ -362,9 +363,11 @@ def records_of(pages: DataFrame, heads: DataFrame) -> DataFrame:
     def part(key: pa.Array, page_id: pa.Array) -> pa.Array:
         return pa.array([bisect_right(bounds, _place(k, p)) for k, p in zip(key.to_pylist(), page_id.to_pylist())], pa.int32())
 
-    joined = heads_of(pages).join(first_pages(heads), "digest", "left")
-    mine = F.col("page_id").eqNullSafe(F.col("_f.page_id")) & F.col("url").eqNullSafe(F.col("_f.url"))
-    whole = joined.withColumn("first", F.when(F.col("_f").isNotNull(), mine)).withColumn("refers_to", F.col("_f.page_id")).withColumn("part", part("key", "page_id"))
+    # Sent to all tasks while so few that they take some 12 MB; then pages are dealt out once, by range.
+    firsts = stored(first_pages(heads), "warc-firsts")
+    joined = heads_of(pages).join(small_or_shuffled(firsts, 100_000), "digest", "left")
+    mine = F.col("page_id").eqNullSafe(F.col("_id")) & (F.md5(F.coalesce("url", F.lit("")).cast("binary")) == F.col("_url"))
+    whole = joined.withColumn("first", F.when(F.col("_url").isNotNull(), mine)).withColumn("refers_to", F.col("_id")).withColumn("part", part("key", "page_id"))
     return whole.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "key", "page_id", "url", "digest").select(*COLUMNS)
 
 
