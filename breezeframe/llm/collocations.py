@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, stored, table
+from .packing import slices
 
 LONGEST, LEAST, TOP = 3, 10, 2000
 #: A candidate goes if a longer one that holds it has this share of its count, in per cent.
@@ -51,7 +52,7 @@ BUCKET_BYTES = 48
 #: Buckets are sent in chunks of this many.
 CHUNK = 1 << 16
 #: Bytes of text that are counted together.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 SPLIT = r"[.,;:!?\x0A-\x0D]+"
 COUNTS = "lang string, phrase string, hash long, n long, chunk int, buckets binary"
 #: Odd numbers that mix the hashes of words into those of phrases.
@@ -113,18 +114,19 @@ def counted(codes: np.ndarray, at: np.ndarray, n: int, n_words: int) -> tuple[np
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array]]:
-    """(lang, texts) of blocks of some BLOCK_BYTES."""
+    """(lang, texts) of blocks of some BLOCK_BYTES at most, or one text."""
     held: dict[str, list[pa.Array]] = {}
     size = 0
     for batch in batches:
-        langs, texts = batch.column(0), pc.cast(batch.column(1), pa.large_string())
-        for lang in pc.unique(langs).to_pylist():
-            held.setdefault(lang, []).append(texts.filter(pc.equal(langs, lang)))
-        size += texts.nbytes
-        if size > BLOCK_BYTES:
-            yield from ((lang, pa.concat_arrays(parts)) for lang, parts in held.items())
-            held, size = {}, 0
-    yield from ((lang, pa.concat_arrays(parts)) for lang, parts in held.items())
+        for lo, hi in slices(batch.column(1), BLOCK_BYTES):
+            langs, texts = batch.column(0)[lo:hi], pc.cast(batch.column(1)[lo:hi], pa.large_string())
+            if held and size + texts.nbytes > BLOCK_BYTES:
+                yield from ((lang, pa.concat_arrays(held.pop(lang))) for lang in list(held))
+                size = 0
+            for lang in pc.unique(langs).to_pylist():
+                held.setdefault(lang, []).append(texts.filter(pc.equal(langs, lang)))
+            size += texts.nbytes
+    yield from ((lang, pa.concat_arrays(held.pop(lang))) for lang in list(held))
 
 
 def _pass(n: int, more: bool, least: int, bits: int, frequent, buckets):
