@@ -9,8 +9,10 @@ bytes overlap.
    between a letter and one of these. The tokens of a text are those of its segments in order.
    Texts keep the numbers of their segments in a dictionary of their block (some `BLOCK_BYTES` of text).
 2. The distinct segments of the corpus are encoded once, and their tokens become rows: `posexplode`, a windowed sum of
-   byte lengths for the ends, an equi-join of A's and B's rows on (segment, end) for the cuts, the running
-   count of cuts as group number, and a join on (segment, group) with overlapping ranges for the links.
+   byte lengths for the ends, A's and B's rows matched on (segment, end) for the cuts (a full equi-join, done as a
+   grouping, so that one dealing by segment serves every step), and the running count of cuts as group number. The range join of overlapping tokens is done over the joined ends in order: the stretch
+   between two neighbouring ends lies in one A and one B token, and is their only overlap. That takes linear work
+   where a join on the group would compare all pairs in it.
 3. A pair of ids counts once for each link, times the occurrences of its segment. B's ids are at most its
    vocabulary, so their highest counts are a table of bounded size, which is broadcast.
 4. Sums and groups of segments go back to the blocks that have them, and each text adds up its segments.
@@ -32,7 +34,6 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -54,9 +55,9 @@ BLOCK_BYTES = 8 << 20
 #: Segments that reach the tokenizers together.
 ENCODE = 4000
 BLOCKS = "block long, doc_id long, numbers binary, number int, segment string, n long"
-TOKENS = "segment string, n long, fits boolean, a array<struct<id:int,length:int>>, b array<struct<id:int,length:int>>"
+TOKENS = "segment string, n long, fits boolean, a array<int>, a_lengths array<int>, b array<int>, b_lengths array<int>"
 DIGESTS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
+SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
 def tokenizer_paths() -> tuple[str, str]:
@@ -156,12 +157,11 @@ class Tokens:
 def _tokens(path_a: str, path_b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Tokens(path_a, path_b)
-        token = pa.struct([("id", pa.int32()), ("length", pa.int32())])
 
-        def lists(ids: list[list[int]], of: dict[int, bytes]) -> pa.Array:
+        def lists(ids: list[list[int]], of: dict[int, bytes]) -> tuple[pa.Array, pa.Array]:
             flat = [i for x in ids for i in x]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(flat, pa.int32()), pa.array([len(of[i]) for i in flat], pa.int32())], fields=list(token)))
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
+            return pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32())), pa.ListArray.from_arrays(ends, pa.array([len(of[i]) for i in flat], pa.int32()))
 
         for batch in batches:
             for at in range(0, batch.num_rows, ENCODE):
@@ -169,7 +169,7 @@ def _tokens(path_a: str, path_b: str):
                 segments = some.column(0).to_pylist()
                 ids_a, ids_b = own.encode(segments)
                 fits = [(raw := s.encode()) == b"".join(map(own.bytes_a.__getitem__, x)) and raw == b"".join(map(own.bytes_b.__getitem__, y)) for s, x, y in zip(segments, ids_a, ids_b)]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(fits, pa.bool_()), lists(ids_a, own.bytes_a), lists(ids_b, own.bytes_b)], names=["segment", "n", "fits", "a", "b"])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(fits, pa.bool_()), *lists(ids_a, own.bytes_a), *lists(ids_b, own.bytes_b)], names=[x.split()[0] for x in TOKENS.split(", ")])
 
     return run
 
@@ -177,63 +177,53 @@ def _tokens(path_a: str, path_b: str):
 # --- rows of tokens
 
 
-@contextmanager
-def co_partitioned(spark: SparkSession):
-    """Rows dealt by a segment serve joins on the segment and more, so that they are not dealt again."""
-    before = spark.conf.get(CO_PARTITION)
-    spark.conf.set(CO_PARTITION, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(CO_PARTITION, before)
+def token_ends(tokens: DataFrame) -> DataFrame:
+    """tokens (sid, a, a_lengths, b, b_lengths) -> (sid, side, id, end): a row for each token of either side (true: B) with the byte after it."""
+    sided = lambda c: F.zip_with(c, f"{c}_lengths", lambda i, n: F.struct(F.lit(c == "b").alias("side"), i.alias("id"), n.alias("length")))
+    # Dealt out before the tokens become rows; all that follows is by segment too.
+    rows = tokens.repartition("sid").select("sid", F.posexplode(F.concat(sided("a"), sided("b"))).alias("pos", "t")).select("sid", "pos", "t.*")
+    return rows.select("sid", "side", "id", F.sum("length").over(Window.partitionBy("sid", "side").orderBy("pos")).alias("end"))
 
 
-def token_rows(tokens: DataFrame, side: str) -> DataFrame:
-    """(sid, pos, id, start, end) of one tokenizer's tokens."""
-    rows = tokens.select("sid", F.posexplode(side).alias("pos", "t")).select("sid", "pos", "t.id", "t.length")
-    end = F.sum("length").over(Window.partitionBy("sid").orderBy("pos"))
-    return rows.withColumn("end", end).withColumn("start", F.col("end") - F.col("length")).drop("length")
+def stretches(tokens: DataFrame) -> DataFrame:
+    """(sid, end, a_id, b_id, grp, a_of, b_of): the ends of either side's tokens; a_id and b_id are those that end there.
 
-
-def grouped_tokens(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sid, pos, id, start, end, grp) of A's and B's tokens: grp counts the cuts before a token."""
-    sides = [token_rows(tokens, s) for s in ("a", "b")]
-
-    def numbered(own: DataFrame, other: DataFrame) -> DataFrame:
-        cuts = other.select("sid", "end", F.lit(1).alias("cut"))
-        before = Window.partitionBy("sid").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-        return own.join(cuts, ["sid", "end"], "left").withColumn("grp", F.coalesce(F.sum("cut").over(before), F.lit(0)).cast("int")).drop("cut")
-
-    return numbered(sides[0], sides[1]), numbered(sides[1], sides[0])
-
-
-def links_of(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(sid, a_id, b_id): the pairs of tokens whose bytes overlap; they are in one group."""
-    left = a.select("sid", "grp", F.col("id").alias("a_id"), F.col("start").alias("a_start"), F.col("end").alias("a_end"))
-    right = b.select("sid", "grp", F.col("id").alias("b_id"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
-    return left.join(right, ["sid", "grp"]).where("a_start < b_end AND b_start < a_end").select("sid", "a_id", "b_id")
+    grp counts the cuts from there on. The stretch before an end lies in one A and one B token, a_of and b_of: the
+    first of each to end there or later. Overlaps of two tokens have no end within, so stretches are the links.
+    """
+    ids = [F.max(F.when(F.col("side") == (s == "b"), F.col("id"))).alias(f"{s}_id") for s in ("a", "b")]
+    both = token_ends(tokens).groupBy("sid", "end").agg(*ids)
+    back = Window.partitionBy("sid").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = (F.col("a_id").isNotNull() & F.col("b_id").isNotNull()).cast("int")
+    return both.select("*", F.sum(cut).over(back).cast("int").alias("grp"), *[F.last(f"{s}_id", True).over(back).alias(f"{s}_of") for s in ("a", "b")])
 
 
-def groups_of(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(sid, n_a, n_b, n_groups, groups): A's and B's ids of each group in order, `a1,a2|b1;...`."""
+def aligned(tokens: DataFrame) -> DataFrame:
+    """tokens -> (sid, n_a, n_b, n_groups, n_links, groups, links): groups as `a1,a2|b1;...`, links as an array of (a_id, b_id)."""
+    inner = F.array_sort(F.collect_list(F.struct("end", "a_id", "b_id", "a_of", "b_of")))
+    rows = stretches(tokens).groupBy("sid").agg(inner.alias("_in"), F.count("a_id").alias("n_a"), F.count("b_id").alias("n_b"), F.max("grp").cast("long").alias("n_groups"))
+    ends = lambda x: x["a_id"].isNotNull() & x["b_id"].isNotNull()
+    rows = rows.withColumn("_cuts", F.filter(F.sequence(F.lit(1), F.size("_in")), lambda k: ends(F.get("_in", k - 1))))
+    ids = lambda own, c: F.array_join(F.transform(F.filter(own, lambda x: x[c].isNotNull()), lambda x: x[c].cast("string")), ",")
 
-    def ids(side: DataFrame, name: str) -> DataFrame:
-        listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"].cast("string"))
-        return side.groupBy("sid", "grp").agg(F.array_join(listed, ",").alias(name), F.count("*").alias(f"n_{name}"))
+    def text(cut, k):
+        """A group: what stands between two cuts."""
+        last = F.when(k == 0, F.lit(0)).otherwise(F.get("_cuts", k - 1))
+        own = F.slice("_in", last + 1, cut - last)
+        return F.concat_ws("|", ids(own, "a_id"), ids(own, "b_id"))
 
-    both = ids(a, "a").join(ids(b, "b"), ["sid", "grp"])
-    whole = F.array_sort(F.collect_list(F.struct("grp", F.concat_ws("|", "a", "b").alias("text"))))
-    sums = [F.sum(c).alias(c) for c in ("n_a", "n_b")]
-    return both.groupBy("sid").agg(*sums, F.count("*").alias("n_groups"), F.array_join(F.transform(whole, lambda x: x["text"]), ";").alias("groups"))
+    groups = F.array_join(F.transform("_cuts", text), ";")
+    links = F.transform("_in", lambda x: F.struct(x["a_of"].alias("a_id"), x["b_of"].alias("b_id")))
+    return rows.select("sid", "n_a", "n_b", "n_groups", F.size("_in").cast("long").alias("n_links"), groups.alias("groups"), links.alias("links"))
 
 
 # --- counts
 
 
-def pair_counts(links: DataFrame, times: DataFrame) -> DataFrame:
-    """(a_id, b_id, count, best): how many links hold each pair; best: no pair of its b_id has more. times: (sid, n)."""
-    counts = links.join(times, "sid").groupBy("a_id", "b_id").agg(F.sum("n").alias("count"))
-    counts = stored(counts, "alignment-counts")
+def pair_counts(rows: DataFrame, times: DataFrame) -> DataFrame:
+    """(a_id, b_id, count, best) of rows (sid, links) and times (sid, n): how many links hold each pair; best: no pair of its b_id has more."""
+    links = rows.select("sid", "links").join(times, "sid").select("n", F.inline("links"))
+    counts = stored(links.groupBy("a_id", "b_id").agg(F.sum("n").alias("count")), "alignment-counts")
     highest = counts.groupBy("b_id").agg(F.max("count").alias("_most"))
     # A row for each id of B's vocabulary at most.
     out = stored(counts.join(F.broadcast(highest), "b_id").select("a_id", "b_id", "count", (F.col("count") == F.col("_most")).cast("int").alias("best")), "alignment-pairs")
@@ -253,17 +243,18 @@ def _spoiled(docs: pa.Table, bad: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([block] * len(number), pa.int64()), "number": pa.array(number, pa.int32()), "lost": pa.array(n.astype(np.int64))})
 
 
-def sound_times(blocks: DataFrame, places: DataFrame, segments: DataFrame) -> DataFrame:
+def sound_times(blocks: DataFrame, segments: DataFrame) -> DataFrame:
     """(sid, n): the occurrences of segments in texts all of whose segments fit."""
-    bad = segments.where("NOT fits").select("sid")
+    bad = segments.where("NOT fits").select("segment")
     times = segments.select("sid", "n")
     if bad.isEmpty():
         return times
-    wrong = stored(places.join(bad, "sid", "left_semi").select("block", "number"), "alignment-bad")
+    words = blocks.where("number IS NOT NULL").select("block", "number", "segment")
+    wrong = stored(words.join(bad, "segment", "left_semi").select("block", "number"), "alignment-bad")
     docs = blocks.where("numbers IS NOT NULL").select("block", "numbers").join(wrong.select("block").distinct(), "block", "left_semi")
     lost = docs.groupBy("block").cogroup(wrong.groupBy("block")).applyInArrow(_spoiled, "block long, number int, lost long")
-    taken = lost.join(places.select("block", "number", "sid"), ["block", "number"]).groupBy("sid").agg(F.sum("lost").alias("lost"))
-    return times.join(taken, "sid", "left").select("sid", (F.col("n") - F.coalesce("lost", F.lit(0))).alias("n"))
+    taken = lost.join(words, ["block", "number"]).groupBy("segment").agg(F.sum("lost").alias("lost"))
+    return segments.join(taken, "segment", "left").select("sid", (F.col("n") - F.coalesce("lost", F.lit(0))).alias("n"))
 
 
 # --- texts
@@ -272,7 +263,7 @@ def sound_times(blocks: DataFrame, places: DataFrame, segments: DataFrame) -> Da
 def _digested(docs: pa.Table, rows: pa.Table) -> pa.Table:
     """DIGESTS of a block's texts from those of its segments."""
     order = np.argsort(rows.column("number").to_numpy())
-    sums = [rows.column(c).to_numpy().astype(np.int64)[order] for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")]
+    sums = [rows.column(c).to_numpy().astype(np.int64)[order] for c in SUMS]
     fits = rows.column("fits").to_numpy(zero_copy_only=False).astype(bool)[order]
     groups = [x.encode() for x in rows.column("groups").take(pa.array(order)).to_pylist()]
     out = []
@@ -288,43 +279,36 @@ def _digested(docs: pa.Table, rows: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out), types)] if out else [pa.nulls(0, t) for t in types], names=names)
 
 
-def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """docs (doc_id, text) -> (blocks, places, rows), stored tables.
+def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """docs (doc_id, text) -> (blocks, rows), stored tables.
 
-    blocks: the texts, as numbers of segments of their block. places: (block, number, sid). rows, for each segment sid: fits,
+    blocks: the texts as numbers of segments, and the segments of each block by number. rows, for each segment: fits,
     n_a, n_b, n_groups, groups, n_links, n_best, count_sum.
     """
-    spark = docs.sparkSession
     own = tokenizer_paths()
     blocks = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_segments, BLOCKS), "alignment-blocks")
-    words = blocks.where("number IS NOT NULL")
-    distinct = words.groupBy("segment").agg(F.sum("n").alias("n"))
+    distinct = blocks.where("number IS NOT NULL").groupBy("segment").agg(F.sum("n").alias("n"))
     tokens = distinct.mapInArrow(_tokens(path_a or own[0], path_b or own[1]), TOKENS)
     segments = stored(tokens.withColumn("sid", F.monotonically_increasing_id()), "alignment-segments")
-    places = stored(words.select("block", "number", "segment").join(segments.select("segment", "sid"), "segment").select("block", "number", "sid"), "alignment-places")
-    times = sound_times(blocks, places, segments)
-    with co_partitioned(spark):
-        a, b = (stored(x, "alignment-tokens") for x in grouped_tokens(segments.where("fits").select("sid", "a", "b")))
-        links = stored(links_of(a, b), "alignment-links")
-        groups = stored(groups_of(a, b), "alignment-groups")
-    for part in (a, b):
-        discard(part)
-    pairs = pair_counts(links, times)
-    linked = links.join(pairs, ["a_id", "b_id"]).groupBy("sid").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")]
-    rows = segments.select("sid", "fits").join(groups, "sid", "left").join(linked, "sid", "left")
-    rows = stored(rows.select("sid", "fits", *zero, F.coalesce("groups", F.lit("")).alias("groups")), "alignment-rows")
-    for part in (segments, links, groups, pairs):
+    found = stored(aligned(segments.where("fits").select("sid", "a", "a_lengths", "b", "b_lengths")), "alignment-found")
+    pairs = pair_counts(found, sound_times(blocks, segments))
+    linked = found.select("sid", F.inline("links")).join(pairs, ["a_id", "b_id"]).groupBy("sid").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    linked = stored(linked, "alignment-linked")
+    discard(pairs)
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in SUMS]
+    rows = segments.select("sid", "segment", "fits").join(found.drop("links"), "sid", "left").join(linked, "sid", "left")
+    rows = stored(rows.select("segment", "fits", *zero, F.coalesce("groups", F.lit("")).alias("groups")), "alignment-rows")
+    for part in (segments, found, linked):
         discard(part)
-    return blocks, places, rows
+    return blocks, rows
 
 
 def document_digests(docs: DataFrame, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
     """DIGESTS of docs (doc_id, text), one row a text."""
-    blocks, places, rows = align(docs, path_a, path_b)
+    blocks, rows = align(docs, path_a, path_b)
     texts = blocks.where("numbers IS NOT NULL").select("block", "doc_id", "numbers")
-    parts = places.join(rows, "sid").drop("sid")
-    return texts.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(_digested, DIGESTS)
+    parts = blocks.where("number IS NOT NULL").select("block", "number", "segment").join(rows, "segment").drop("segment")
+    return texts.groupBy("block").cogroup(parts.toDF(*parts.columns).groupBy("block")).applyInArrow(_digested, DIGESTS)
 
 
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

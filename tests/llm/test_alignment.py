@@ -94,11 +94,10 @@ def test_against_brute_force(spark, own, monkeypatch, block):
 
 def test_links_and_groups_by_hand(spark):
     """A: [2, 3, 1] bytes, B: [2, 1, 3]: cuts at 2 and 6; the second group has three links."""
-    tokens = spark.createDataFrame([(7, [(1, 2), (2, 3), (3, 1)], [(4, 2), (5, 1), (6, 3)])], "sid long, a array<struct<id:int,length:int>>, b array<struct<id:int,length:int>>")
-    a, b = al.grouped_tokens(tokens)
-    assert sorted((r["id"], r["grp"]) for r in a.collect()) == [(1, 0), (2, 1), (3, 1)]
-    assert sorted((r["a_id"], r["b_id"]) for r in al.links_of(a, b).collect()) == [(1, 4), (2, 5), (2, 6), (3, 6)]
-    assert al.groups_of(a, b).first()["groups"] == "1|4;2,3|5,6"
+    tokens = spark.createDataFrame([(7, [1, 2, 3], [2, 3, 1], [4, 5, 6], [2, 1, 3])], "sid long, a array<int>, a_lengths array<int>, b array<int>, b_lengths array<int>")
+    got = al.aligned(tokens).first()
+    assert got["groups"] == "1|4;2,3|5,6" and (got["n_a"], got["n_b"], got["n_groups"], got["n_links"]) == (3, 3, 2, 4)
+    assert sorted(map(tuple, got["links"])) == [(1, 4), (2, 5), (2, 6), (3, 6)]
 
 
 def test_spoiled_texts_do_not_count(spark, own):
