@@ -35,7 +35,11 @@ def with_trailing(indexed: DataFrame) -> DataFrame:
     """
     frame = {k: by_time().rowsBetween(1 - ix.AVERAGING_HOURS[k], 0) for k in GAS_COLUMNS}
     good = {k: F.when(F.col(k) >= 0, F.col(k)) for k in GAS_COLUMNS}
-    out = indexed.withColumns({f"m_{k}": F.avg(good[k]).over(frame[k]) for k in GAS_COLUMNS} | {f"n_{k}": F.count(good[k]).over(frame[k]) for k in GAS_COLUMNS})
+    return trailing_of_means(indexed.withColumns({f"m_{k}": F.avg(good[k]).over(frame[k]) for k in GAS_COLUMNS} | {f"n_{k}": F.count(good[k]).over(frame[k]) for k in GAS_COLUMNS}))
+
+
+def trailing_of_means(out: DataFrame) -> DataFrame:
+    """The trailing index of rows that have the mean m_<gas> of each window and the number n_<gas> of its readings."""
     subs = {k: F.when(F.col(f"n_{k}") >= LEAST_HOURS, ix.sub_index(k, F.col(f"m_{k}"))) for k in GAS_COLUMNS}
     out = out.withColumns({f"ts_{k}": subs[k] for k in GAS_COLUMNS}).withColumn("trail", F.greatest(*[F.col(f"ts_{k}") for k in GAS_COLUMNS]))
     lead = ix.dominant({k: F.col(f"ts_{k}") for k in GAS_COLUMNS}, F.col("trail"))
