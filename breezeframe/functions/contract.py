@@ -39,7 +39,6 @@ INVITATION = (
     r"a (?:gentle )?walk is (?:an option|fine|safe)|(?:fine|safe|perfect|ideal) (?:for|to take) (?:a )?walk|go (?:for (?:a |the )?walk|ahead and walk)|"
     r"take (?:a |the )?(?:short |gentle )?stroll|visit (?:the )?park)\b"
 )
-PARK_INVITATION = r"\bvisit\s+(?:cubbon|lalbagh|ulsoor|sankey|bugle|hesaraghatta|kadugodi)"
 STAY_IN = r"\b(?:stay (?:in|indoors)|skip (?:the|your) (?:outdoor )?walk|do not head out)\b"
 PUT_OFF = r"hold off|postpone|wait before|wait for|recheck|check again"
 MEDICAL = r"guaranteed|completely safe|perfectly safe|you will be fine|\b(?:cure|treat|prevent)\w*\s+(?:asthma|disease|illness)|\b(?:take|use)\s+(?:an?\s+)?(?:inhaler|medication|medicine)"
@@ -116,7 +115,7 @@ def _checks(f: Column) -> dict[str, Column]:
         "length": ~n.between(LEAST_WORDS, MOST_WORDS),
         "decision": F.coalesce(F.regexp_extract(clean, r"^(GO|WAIT|SKIP)\b", 1) != f.decision, F.lit(True)),
         "format": clean.rlike(FORMAT),
-        "unsafe_invitation": ((~go | ~F.coalesce(f.walk_allowed, F.lit(True))) & affirmative.rlike(INVITATION)) | (~go & affirmative.rlike(PARK_INVITATION)),
+        "unsafe_invitation": ((~go | ~F.coalesce(f.walk_allowed, F.lit(True))) & affirmative.rlike(INVITATION)) | (~go & F.exists(F.coalesce(f.allowed_park_names, F.array().cast("array<string>")), lambda p: F.regexp_like(affirmative, F.concat(F.lit(r"\bvisit\s+\Q"), F.lower(F.get(F.split(p, " "), 0)), F.lit(r"\E"))))),
         "premature_pocket_mode": ~go & affirmative.contains("pocket mode"),
         "contradictory_decision": ~go & clean.rlike(r"\bGO\b"),
         "skip_direction": (f.decision == "SKIP") & ~low.rlike(STAY_IN),

@@ -84,6 +84,7 @@ def cyclic(x: Column, period: int) -> tuple[Column, Column]:
     return F.sin(angle), F.cos(angle)
 
 
-def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius_km: float = 6371.0088) -> Column:
+def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius_km: float = 6371.0) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * radius_km * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    # `least` passes over NULLs, but a place that isn't known is no distance away.
+    return F.when(a.isNotNull(), 2 * radius_km * F.asin(F.least(F.lit(1.0), F.sqrt(a))))

@@ -94,18 +94,20 @@ def journal_scan(spark, d):
     return pl.journal_entries(lines)
 
 
-@query(with_views(ad.PARKS_SQL, """SELECT name, round(km, 6) AS km, aqi FROM (SELECT name, CASE WHEN park_id % 5 = 0 THEN NULL ELSE (park_id % 400)::DOUBLE END AS aqi,
-  2 * 6371.0088 * asin(sqrt(pow(sin(radians(lat - 12.97) / 2), 2) + cos(radians(12.97)) * cos(radians(lat)) * pow(sin(radians(lon - 77.59) / 2), 2))) AS km FROM parks) WHERE aqi IS NOT NULL AND km <= 20"""))
+@query(with_views(ad.PARKS_SQL, """SELECT name, round(CASE WHEN geo THEN km END, 6) AS km, aqi, pm25 FROM (SELECT name, park_id % 7 <> 3 AS geo, CASE WHEN park_id % 5 = 0 THEN NULL ELSE park_id % 400 END AS aqi,
+  CASE WHEN park_id % 2 = 0 THEN (park_id % 90)::DOUBLE + 0.5::DOUBLE END AS pm25,
+  2 * 6371.0 * asin(sqrt(pow(sin(radians(lat * 3 - 26) / 2 - radians(12.97) / 2), 2) + cos(radians(12.97)) * cos(radians(lat * 3 - 26)) * pow(sin(radians(lon - 77.59) / 2), 2))) AS km FROM parks) WHERE (aqi IS NOT NULL OR pm25 IS NOT NULL) AND (NOT geo OR km <= 60)"""))
 def station_feed(spark, d):
-    """Stations of a feed whose city is an object or a list, with a usable reading and near enough."""
-    p = ad.parks(spark, d)
-    city = F.struct("name", F.array("lat", "lon").alias("geo"))
+    """Stations of a feed whose city is an object or a list, with a usable reading and near enough; every seventh tells no place, some only a particle reading."""
+    p = ad.parks(spark, d).withColumn("lat", F.col("lat") * 3 - 26)
+    geo = F.when(F.col("park_id") % 7 != 3, F.array("lat", "lon"))
+    city = F.struct("name", geo.alias("geo"))
     aqi = F.when(F.col("park_id") % 5 == 0, F.lit("-")).otherwise((F.col("park_id") % 400).cast("string"))
-    as_object = F.to_json(F.struct(F.struct(aqi.alias("aqi"), city.alias("city")).alias("data")))
-    as_list = F.to_json(F.struct(F.struct(aqi.alias("aqi"), F.array(city).alias("city")).alias("data")))
-    rows = pl.station_rows(p.select(F.when(F.col("park_id") % 2 == 0, as_object).otherwise(as_list).alias("line")))
-    km = we.haversine(F.lit(12.97), F.lit(77.59), F.col("lat"), F.col("lon"))
-    return rows.withColumn("km", km).where("aqi IS NOT NULL AND km <= 20").select("name", rounded(F.col("km")).alias("km"), "aqi")
+    own = F.struct(F.when(F.col("park_id") % 2 == 0, F.col("park_id") % 90 + 0.5).alias("pm25"))
+    said = lambda c: F.to_json(F.struct(F.struct(aqi.alias("aqi"), c.alias("city"), own.alias("iaqi")).alias("data")))
+    rows = pl.station_rows(p.select(F.when(F.col("park_id") % 2 == 0, said(city)).otherwise(said(F.array(city))).alias("line")))
+    near = pl.usable_stations(rows, we.haversine(F.lit(12.97), F.lit(77.59), F.col("lat"), F.col("lon")))
+    return near.select("name", rounded(F.col("km")).alias("km"), "aqi", "pm25")
 
 
 @query("""SELECT n_nationkey::BIGINT AS row, place, cell, number FROM (SELECT n_nationkey, 0 AS place, n_name AS cell, NULL::DOUBLE AS number FROM nation

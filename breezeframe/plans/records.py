@@ -12,7 +12,7 @@ from .hourly import query, rounded
 from .sql import with_views
 
 LAT, LON = 12.97, 77.59
-_DIST = f"2 * 6371.0088 * asin(least(1.0, sqrt(sin(radians(lat - {LAT}) / 2) ** 2 + cos(radians({LAT})) * cos(radians(lat)) * sin(radians(lon - {LON}) / 2) ** 2)))"
+_DIST = f"2 * 6371.0 * asin(least(1.0, sqrt(sin(radians(lat - {LAT}) / 2) ** 2 + cos(radians({LAT})) * cos(radians(lat)) * sin(radians(lon - {LON}) / 2) ** 2)))"
 
 
 def with_distance(spark, d):

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import policy as po
 from ..operators import metrics as me
 from ..operators import series as se
 from ..sources import adapters as ad
@@ -20,7 +21,7 @@ from .sql import INDEX_SQL, LABELLED_SQL, SLOTS_SQL, TRAILING_SQL, with_views
 #: Weights of the six classes, of the six horizons, and widths of the coarse fingerprint.
 CLASS_WEIGHTS = (1, 1, 1, 4, 16, 16)
 HORIZON_WEIGHTS = (1 / 12, 1 / 12, 1 / 12, 1 / 12, 1 / 12, 7 / 12)
-WIDTHS = {"effective": 25, "apparent_c": 2, "precip_mm": 1, "wind_kmh": 5}
+WIDTHS = {"effective": 5, "apparent_c": 2, "precip_mm": 0.5, "precip_prob": 10}
 REPLICATES, BOOTSTRAP_SEED = 4000, 12345
 
 
@@ -144,11 +145,20 @@ def basis_parts(spark, d):
     return h.trailing(spark, d).select("series", "t", basis.alias("basis")).select("series", "t", "basis", F.size(parts).cast("long").alias("parts"), F.get(parts, 0).alias("first_part"))
 
 
-@query(with_views(SLOTS_SQL, "SELECT series, t, " + " || ':' || ".join(f"coalesce(CAST(CAST(round_even({c} / {w}.0, 0) AS BIGINT) AS VARCHAR), 'na')" for c, w in WIDTHS.items()) + " AS fingerprint FROM slots"))
+def near_key(decision, is_day, code, measures):
+    """What makes two hours nearly the same: decision, day, weather code, and four measures in steps of WIDTHS, halves to even; `na` where there is none."""
+    step = lambda c, w: F.coalesce(F.bround(measures[c] / float(w), 0).cast("long").cast("string"), F.lit("na"))
+    plain = [F.coalesce(c.cast("string"), F.lit("na")) for c in (decision, is_day, code)]
+    return F.concat_ws(":", *plain, *[step(c, w) for c, w in WIDTHS.items()])
+
+
+_STEPS = " || ':' || ".join(f"coalesce(CAST(CAST(round_even({c} / {float(w)!r}::DOUBLE, 0) AS BIGINT) AS VARCHAR), 'na')" for c, w in WIDTHS.items())
+
+
+@query(with_views(h.POLICY_SQL, f"SELECT series, t, ['GO', 'WAIT', 'SKIP'][rank + 1] || ':' || coalesce(CAST(is_day AS VARCHAR), 'na') || ':' || coalesce(CAST(weather_code AS VARCHAR), 'na') || ':' || {_STEPS} AS fingerprint FROM pol"))
 def near_fingerprint(spark, d):
-    """Four measures in steps of their widths, halves to even."""
-    step = lambda c, w: F.coalesce(F.bround(F.col(c) / float(w), 0).cast("long").cast("string"), F.lit("na"))
-    return h.slots(spark, d).select("series", "t", F.concat_ws(":", *[step(c, w) for c, w in WIDTHS.items()]).alias("fingerprint"))
+    rows = h.decided(spark, d)
+    return rows.select("series", "t", near_key(po.decision_name(F.col("rank")), F.col("is_day"), F.col("weather_code"), {c: F.col(c) for c in WIDTHS}).alias("fingerprint"))
 
 
 def quantile_floor(pred, quantile):
@@ -189,14 +199,19 @@ def horizon_loss(spark, d):
 # --- pairs and gates
 
 
-@query(with_views(LABELLED_SQL, "SELECT series, n, n AS joined, n AS keys, true AS sound FROM (SELECT series, count(*)::BIGINT AS n FROM pre GROUP BY series)"))
+@query(with_views(SLOTS_SQL, "SELECT series, count(a)::BIGINT AS n, count(b)::BIGINT AS other, count(CASE WHEN a AND b THEN 1 END)::BIGINT AS joined, count(*)::BIGINT AS keys, count(CASE WHEN a AND b THEN 1 END) = count(*) AS sound FROM (SELECT coalesce(x.series, y.series) AS series, coalesce(x.t, y.t) AS t, CASE WHEN x.t IS NOT NULL THEN true END AS a, CASE WHEN y.t IS NOT NULL THEN true END AS b FROM air x FULL JOIN wx y ON x.series = y.series AND x.t = y.t) GROUP BY series"))
 def paired_period(spark, d):
-    """Two forecasts of one period, zipped by key: every key once on both sides, or the period is not sound."""
-    rows = h.labelled(spark, d)
-    a, b = rows.select("series", "t", "pred"), rows.select("series", "t", "band_e")
-    both = a.join(b, ["series", "t"], "full")
-    g = both.groupBy("series").agg(F.count("pred").alias("n"), F.count_if(F.col("pred").isNotNull() & F.col("band_e").isNotNull()).alias("joined"), F.count_distinct("t").alias("keys"), F.count("*").alias("_all"))
-    return g.select("series", "n", "joined", "keys", ((F.col("n") == F.col("joined")) & (F.col("keys") == F.col("_all")) & (F.col("n") == F.col("_all"))).alias("sound"))
+    """Two feeds of one period zipped by key: every key once on both sides, or the period is not sound. The weather has no hour 11."""
+    return paired(ad.air(spark, d), ad.weather(spark, d)).select("series", "n", "other", "joined", "keys", "sound")
+
+
+def paired(a, b):
+    """(series, n, other, joined, keys, sound) of two frames of (series, t)."""
+    sides = [x.groupBy("series", "t").agg(F.count("*").alias(n)) for x, n in ((a, "_a"), (b, "_b"))]
+    both = sides[0].join(sides[1], ["series", "t"], "full")
+    once = F.coalesce((F.col("_a") == 1) & (F.col("_b") == 1), F.lit(False))
+    sums = both.groupBy("series").agg(F.coalesce(F.sum("_a"), F.lit(0)).alias("n"), F.coalesce(F.sum("_b"), F.lit(0)).alias("other"), F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("joined"), F.count("*").alias("keys"), F.bool_and(once).alias("sound"))
+    return sums
 
 
 @query(with_views(f"{EPI}, md AS (SELECT series, t, lag(band_i, 6) OVER (PARTITION BY series ORDER BY t) >= 3 AS one, lag(band_i, 3) OVER (PARTITION BY series ORDER BY t) >= 3 AS two FROM idx)", "SELECT series, count(*)::BIGINT AS missed, coalesce(sum(nb), 0)::BIGINT AS new_hits, count(CASE WHEN nb > 0 THEN 1 END)::BIGINT AS rescued FROM (SELECT series, episode, count(CASE WHEN one THEN 1 END) AS na, count(CASE WHEN two THEN 1 END) AS nb FROM e1 JOIN md USING (series, t) GROUP BY ALL) WHERE na = 0 GROUP BY series"))
@@ -208,17 +223,81 @@ def new_hits(spark, d):
     return e.where("na = 0").groupBy("series").agg(F.count("*").alias("missed"), F.sum("nb").alias("new_hits"), F.count_if(F.col("nb") > 0).alias("rescued"))
 
 
-_GATE = "count(CASE WHEN label >= 3 AND {m} >= 3 THEN 1 END)::DOUBLE / nullif(count(CASE WHEN label >= 3 THEN 1 END), 0) AS rec_{m}, count(CASE WHEN label < 3 AND {m} >= 3 THEN 1 END)::DOUBLE / nullif(count(CASE WHEN label < 3 THEN 1 END), 0) AS far_{m}"
+# Fixed values of the gates: bands of poor and very poor air, and how far a candidate may fall behind.
+POOR, VERY_POOR = 3, 4
+GATES = {"accuracy": 0.01, "poor": (0.05, 0.01), "very_poor": (0.01, 0.0025), "gain": 0.05, "new_hits": 2}
+EPS = 1e-12
+
+
+def gate_counts(rows, level, name):
+    """Per series, for labels of `level` or more: positives, negatives, hits and false alarms of reference (pred) and candidate (band_e), and episodes that each hits."""
+    yes, ref, cand = F.col("label") >= level, F.col("pred") >= level, F.col("band_e") >= level
+    flat = rows.groupBy("series").agg(F.count_if(yes).alias("pos"), F.count_if(~yes).alias("neg"), *[F.count_if(yes & m).alias(f"hit_{k}") for k, m in (("r", ref), ("c", cand))], *[F.count_if(~yes & m).alias(f"far_{k}") for k, m in (("r", ref), ("c", cand))])
+    e = se.with_episodes(rows, yes).groupBy("series", "episode").agg(F.count_if(ref).alias("r"), F.count_if(cand).alias("c"))
+    missed = F.when(F.col("r") == 0, F.col("c"))
+    epi = e.groupBy("series").agg(F.count_if(F.col("r") > 0).alias("any_r"), F.count_if(F.col("c") > 0).alias("any_c"), F.max(missed).alias("new"))
+    both = flat.join(epi, "series", "left").na.fill(0, ["any_r", "any_c", "new"])
+    return both.select("series", *[F.col(c).alias(f"{name}_{c}") for c in both.columns if c != "series"])
+
+
+def gates(rows):
+    """Per series: the six checks, the change of recall, and new hits in one very poor episode that the reference missed altogether."""
+    acc = rows.groupBy("series").agg(*[F.avg((F.col("label") == F.col(m)).cast("double")).alias(f"acc_{m}") for m in ("pred", "band_e")])
+    g = acc.join(gate_counts(rows, POOR, "poor"), "series").join(gate_counts(rows, VERY_POOR, "very"), "series")
+
+    def alarms(k, cap, more):
+        far = lambda m: F.col(f"{k}_far_{m}") / F.nullif(F.col(f"{k}_neg"), F.lit(0))
+        return F.coalesce(far("c") <= F.least(F.lit(cap), far("r") + more) + EPS, F.lit(False))
+
+    checks = {
+        "accuracy_holds": F.col("acc_band_e") >= F.col("acc_pred") - GATES["accuracy"] - EPS,
+        "poor_alarms_hold": alarms("poor", *GATES["poor"]),
+        "very_poor_alarms_hold": alarms("very", *GATES["very_poor"]),
+        "misses_hold": F.col("very_pos") - F.col("very_hit_c") <= F.col("very_pos") - F.col("very_hit_r"),
+        "poor_episodes_hold": F.col("poor_any_c") >= F.col("poor_any_r"),
+        "very_poor_episodes_hold": F.col("very_any_c") >= F.col("very_any_r"),
+    }
+    change = (F.col("poor_hit_c") - F.col("poor_hit_r")) / F.nullif(F.col("poor_pos"), F.lit(0))
+    return g.select("series", *[x.alias(n) for n, x in checks.items()], change.alias("recall_change"), F.col("very_new").alias("new_hits"))
+
+
+def verdict(periods):
+    """One row: guardrails (all checks of all periods), and a gain by recall or by new hits where no period loses recall."""
+    names = [c for c in periods.columns if c.endswith(("_holds", "_hold"))]
+    v = periods.agg(F.bool_and(F.forall(F.array(*names), lambda x: x)).alias("guardrails"), F.bool_and(F.coalesce(F.col("recall_change") >= -EPS, F.lit(False))).alias("_no_loss"), F.bool_or(F.coalesce(F.col("recall_change") >= GATES["gain"] - EPS, F.lit(False))).alias("_gain"), F.bool_or(F.col("new_hits") >= GATES["new_hits"]).alias("_hits"))
+    v = v.select("guardrails", (F.col("_no_loss") & F.col("_gain")).alias("recall_gain"), (F.col("_no_loss") & F.col("_hits")).alias("episode_gain"))
+    return v.withColumn("passes", F.col("guardrails") & (F.col("recall_gain") | F.col("episode_gain")))
 
 
-@query(with_views(LABELLED_SQL, f"SELECT series, coalesce(rec_band_e >= rec_pred - 0.01, true) AS recall_holds, coalesce(far_band_e <= far_pred + 0.02, true) AS alarms_hold, coalesce(rec_band_e >= rec_pred - 0.01, true) AND coalesce(far_band_e <= far_pred + 0.02, true) AS passes FROM (SELECT series, {_GATE.format(m='pred')}, {_GATE.format(m='band_e')} FROM pre GROUP BY series)"))
+def _gate_sql(level, k):
+    return f"""{k}f AS (SELECT series, count(CASE WHEN label >= {level} THEN 1 END) AS pos, count(CASE WHEN label < {level} THEN 1 END) AS neg, {', '.join(f"count(CASE WHEN label >= {level} AND {m} >= {level} THEN 1 END) AS hit_{s}, count(CASE WHEN label < {level} AND {m} >= {level} THEN 1 END) AS far_{s}" for s, m in (('r', 'pred'), ('c', 'band_e')))} FROM pre GROUP BY series),
+{k}0 AS (SELECT series, t, pred, band_e, CASE WHEN t - lag(t) OVER (PARTITION BY series ORDER BY t) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM pre WHERE label >= {level}),
+{k}1 AS (SELECT *, sum(b) OVER (PARTITION BY series ORDER BY t ROWS UNBOUNDED PRECEDING) AS ep FROM {k}0),
+{k}2 AS (SELECT series, ep, count(CASE WHEN pred >= {level} THEN 1 END) AS r, count(CASE WHEN band_e >= {level} THEN 1 END) AS c FROM {k}1 GROUP BY ALL),
+{k} AS (SELECT f.*, coalesce(any_r, 0) AS any_r, coalesce(any_c, 0) AS any_c, coalesce(new, 0) AS new FROM {k}f f LEFT JOIN (SELECT series, count(CASE WHEN r > 0 THEN 1 END) AS any_r, count(CASE WHEN c > 0 THEN 1 END) AS any_c, max(CASE WHEN r = 0 THEN c END) AS new FROM {k}2 GROUP BY series) e USING (series))"""
+
+
+def _alarm_sql(k, cap, more):
+    return f"coalesce({k}.far_c::DOUBLE / nullif({k}.neg, 0) <= least({cap}::DOUBLE, {k}.far_r::DOUBLE / nullif({k}.neg, 0) + {more}::DOUBLE) + 1e-12, false)"
+
+
+GATES_SQL = f"""{LABELLED_SQL}, {_gate_sql(3, 'p')}, {_gate_sql(4, 'v')},
+ac AS (SELECT series, avg(CASE WHEN label = pred THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS r, avg(CASE WHEN label = band_e THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS c FROM pre GROUP BY series),
+gt AS (SELECT ac.series, ac.c >= ac.r - 0.01 - 1e-12 AS accuracy_holds, {_alarm_sql('p', 0.05, 0.01)} AS poor_alarms_hold, {_alarm_sql('v', 0.01, 0.0025)} AS very_poor_alarms_hold,
+  v.hit_c >= v.hit_r AS misses_hold, p.any_c >= p.any_r AS poor_episodes_hold, v.any_c >= v.any_r AS very_poor_episodes_hold, (p.hit_c - p.hit_r)::DOUBLE / nullif(p.pos, 0) AS recall_change, v.new AS new_hits
+  FROM ac JOIN p ON p.series = ac.series JOIN v ON v.series = ac.series)"""
+
+
+@query(with_views(GATES_SQL, "SELECT series, accuracy_holds, poor_alarms_hold, very_poor_alarms_hold, misses_hold, poor_episodes_hold, very_poor_episodes_hold, round(recall_change, 6) AS recall_change, new_hits::BIGINT AS new_hits FROM gt"))
 def utility_gates(spark, d):
-    """A second forecast passes where it loses little recall and adds few false alarms."""
-    severe = F.col("label") >= 3
-    rate = lambda m, of: me.share(F.count_if(of & (F.col(m) >= 3)), F.count_if(of))
-    g = h.labelled(spark, d).groupBy("series").agg(*[rate(m, of).alias(f"{k}_{m}") for m in ("pred", "band_e") for k, of in (("rec", severe), ("far", ~severe))])
-    recall, alarms = F.coalesce(F.col("rec_band_e") >= F.col("rec_pred") - 0.01, F.lit(True)), F.coalesce(F.col("far_band_e") <= F.col("far_pred") + 0.02, F.lit(True))
-    return g.select("series", recall.alias("recall_holds"), alarms.alias("alarms_hold"), (recall & alarms).alias("passes"))
+    """The paired checks of a second forecast (the band of the effective index) against persistence, per period."""
+    return gates(h.labelled(spark, d)).withColumn("recall_change", rounded(F.col("recall_change")))
+
+
+@query(with_views(GATES_SQL, """SELECT *, guardrails AND (recall_gain OR episode_gain) AS passes FROM (SELECT bool_and(accuracy_holds AND poor_alarms_hold AND very_poor_alarms_hold AND misses_hold AND poor_episodes_hold AND very_poor_episodes_hold) AS guardrails,
+bool_and(coalesce(recall_change >= -1e-12, false)) AND bool_or(coalesce(recall_change >= 0.05 - 1e-12, false)) AS recall_gain, bool_and(coalesce(recall_change >= -1e-12, false)) AND bool_or(new_hits >= 2) AS episode_gain FROM gt)"""))
+def utility_verdict(spark, d):
+    return verdict(gates(h.labelled(spark, d)))
 
 
 @query(with_views(ad.JOURNAL_SQL, "SELECT outcome, species, n, round(rate, 6) AS rate FROM (SELECT *, row_number() OVER (PARTITION BY outcome ORDER BY rate DESC, species) AS k FROM (SELECT outcome, species, count(*)::BIGINT AS n, avg(CASE WHEN reached = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS rate FROM journal GROUP BY ALL) WHERE n >= 10) WHERE k = 1"))
@@ -229,16 +308,17 @@ def candidate_choice(spark, d):
     return best.select("outcome", "b.species", "b.n", rounded(-F.col("b.r")).alias("rate"))
 
 
-@query(with_views(LABELLED_SQL, "SELECT 'table' AS place, count(*)::BIGINT AS numbers, count(*)::BIGINT AS agree FROM (SELECT series FROM pre GROUP BY series)"))
+@query("SELECT lang, round(avg(length(text)), 6) AS derived, abs(round_even(avg(n_chars), 3) - avg(length(text))) <= 0.0005 AS agrees FROM documents WHERE lang IS NOT NULL GROUP BY lang")
 def published_numbers(spark, d):
-    """Numbers of a published table against the metrics they come from, to half a thousandth."""
+    """Means of the stored lengths, published in a Markdown table to three places, against those of the texts themselves, to half a thousandth."""
     from ..sources import payloads as pl
 
-    acc = h.labelled(spark, d).groupBy("series").agg(F.avg((F.col("label") == F.col("pred")).cast("double")).alias("accuracy"))
-    line = F.concat(F.lit("| run "), F.col("series").cast("string"), F.lit(" | **"), F.format_number("accuracy", 4), F.lit("** |"))
-    cells = pl.table_cells(acc.select(F.col("series").alias("row"), line.alias("line"))).where("place = 1")
-    both = cells.join(acc, cells["row"] == acc["series"])
-    return both.agg(F.lit("table").alias("place"), F.count("number").alias("numbers"), F.count_if(F.abs(F.col("number") - F.col("accuracy")) <= 5e-4).alias("agree"))
+    docs = ad.table(spark, d, "documents").where("lang IS NOT NULL")
+    said = docs.groupBy("lang").agg(F.bround(F.avg("n_chars"), 3).alias("mean"))
+    line = F.concat(F.lit("| "), F.col("lang"), F.lit(" | **"), F.format_number("mean", 3), F.lit("** |"))
+    cells = pl.table_cells(said.select(F.col("lang").alias("row"), line.alias("line"))).where("place = 1").select(F.col("row").alias("lang"), "number")
+    derived = docs.groupBy("lang").agg(F.avg(F.length("text")).alias("derived"))
+    return derived.join(cells, "lang", "left").select("lang", rounded(F.col("derived")).alias("derived"), F.coalesce(F.abs(F.col("number") - F.col("derived")) <= 5e-4, F.lit(False)).alias("agrees"))
 
 
 # --- windows and partitions
@@ -301,6 +381,54 @@ def support_cut(spark, d):
     return cum.groupBy("series").agg(F.min(F.when((F.col("cp") >= 20) & (F.col("cq") >= 200), F.col("day"))).alias("cut"), F.max("cp").alias("positives"), F.max("cq").alias("negatives"))
 
 
+#: Phases of the chained search, each from where the last one ends; the rows a phase needs of either kind, and the hours kept free before its end.
+PHASES, LEAST_POSITIVE, LEAST_NEGATIVE, GAP_HOURS = ("development", "calibration"), 20, 200, 6
+
+
+def support_partitions_of(rows, least_positive=LEAST_POSITIVE, least_negative=LEAST_NEGATIVE, gap_hours=GAP_HOURS):
+    """(series, t, label) -> (series, phase, begin, stop): daily cuts, each the earliest at which its phase has enough rows of both kinds.
+
+    A row counts for a phase that begins at or before it and ends more than `gap_hours` after it. The last phase takes what is left. A series
+    in which a phase lacks support is refused from there on: that phase has NULL for its end, the later ones for both.
+    The prefix sums of a series' days are made once; each phase joins them with one row a series.
+    """
+    day = lambda t: F.date_trunc("day", t).cast("timestamp_ntz")
+    cut = F.make_interval(hours=F.lit(gap_hours))
+    yes = F.col("label") >= 3
+    # Rows count from the first midnight that is after them by the day, and after the gap for the sums that a phase ends with.
+    both = rows.select("series", yes.alias("yes"), F.explode(F.array(F.struct(F.lit(True).alias("begins"), (day(F.col("t")) + F.make_interval(days=F.lit(1))).alias("day")), F.struct(F.lit(False).alias("begins"), (day(F.col("t") + cut) + F.make_interval(days=F.lit(1))).alias("day")))).alias("x")).select("series", "yes", "x.*")
+    span = rows.groupBy("series").agg(day(F.min("t")).alias("a"), (day(F.max("t")) + F.make_interval(days=F.lit(1))).alias("z"))
+    days = span.select("series", F.explode(F.expr("sequence(a, z + INTERVAL 1 DAY, INTERVAL 1 DAY)")).alias("day"))
+    kinds = {f"{k}{s}": F.count_if((F.col("begins") == b) & (F.col("yes") == y)) for k, b in (("p", True), ("q", False)) for s, y in (("y", True), ("n", False))}
+    daily = days.join(both.groupBy("series", "day").agg(*[x.alias(n) for n, x in kinds.items()]), ["series", "day"], "left").na.fill(0)
+    upto = W.partitionBy("series").orderBy("day").rowsBetween(W.unboundedPreceding, 0)
+    sums = daily.select("series", "day", *[F.sum(n).over(upto).alias(n) for n in kinds])
+    at = sums.select("series", F.col("day").alias("begin"), "py", "pn")
+    ends = sums.select("series", F.col("day").alias("stop"), "qy", "qn")
+    enough = (F.col("qy") - F.col("py") >= least_positive) & (F.col("qn") - F.col("pn") >= least_negative)
+    cursor, out = span.select("series", F.col("a").alias("begin"), "z"), None
+    for phase in PHASES:
+        found = cursor.join(at, ["series", "begin"]).join(ends, "series").where((F.col("stop") > F.col("begin")) & (F.col("stop") < F.col("z")) & enough).groupBy("series").agg(F.min("stop").alias("stop"))
+        step = cursor.join(found, "series", "left")
+        own = step.select("series", F.lit(phase).alias("phase"), "begin", "stop")
+        out = own if out is None else out.unionByName(own)
+        cursor = step.select("series", F.col("stop").alias("begin"), "z")
+    last = cursor.join(at, ["series", "begin"], "left").join(ends, (cursor["series"] == ends["series"]) & (cursor["z"] == ends["stop"]), "left").select(cursor["series"], F.lit("threshold_selection").alias("phase"), "begin", F.when(enough, F.col("z")).alias("stop"))
+    return out.unionByName(last)
+
+
+def _phase_sql(k, begin):
+    return f"{k} AS (SELECT c.series, c.b, c.z, (SELECT min(s.day) FROM dd s WHERE s.series = c.series AND s.day > c.b AND s.day < c.z AND (SELECT count(CASE WHEN label >= 3 THEN 1 END) >= 20 AND count(CASE WHEN label < 3 THEN 1 END) >= 200 FROM pre WHERE pre.series = c.series AND t >= c.b AND t + INTERVAL 6 HOUR < s.day)) AS e FROM (SELECT series, {begin[0]} AS b, z FROM {begin[1]}) c)"
+
+
+@query(with_views(f"""{LABELLED_SQL}, sp AS (SELECT series, date_trunc('day', min(t))::TIMESTAMP AS a, date_trunc('day', max(t))::TIMESTAMP + INTERVAL 1 DAY AS z FROM pre GROUP BY series),
+dd AS (SELECT series, unnest(generate_series(a, z, INTERVAL 1 DAY)) AS day FROM sp), {_phase_sql('ph1', ('a', 'sp'))}, {_phase_sql('ph2', ('e', 'ph1'))}""",
+"""SELECT series, 'development' AS phase, b AS begin, e AS stop FROM ph1 UNION ALL SELECT series, 'calibration', b, e FROM ph2
+UNION ALL SELECT series, 'threshold_selection', e, CASE WHEN (SELECT count(CASE WHEN label >= 3 THEN 1 END) >= 20 AND count(CASE WHEN label < 3 THEN 1 END) >= 200 FROM pre WHERE pre.series = ph2.series AND t >= ph2.e AND t + INTERVAL 6 HOUR < ph2.z) THEN z END FROM ph2"""))
+def support_partitions(spark, d):
+    return support_partitions_of(h.labelled(spark, d).select("series", "t", "label"))
+
+
 @query(with_views(f"{LABELLED_SQL}, og AS (SELECT series, a + k * INTERVAL 5 DAY AS origin FROM (SELECT series, CAST(min(t)::DATE AS TIMESTAMP) AS a FROM pre GROUP BY series), unnest(range(1, 6)) r(k))", "SELECT og.series, origin, count(CASE WHEN t < origin - INTERVAL 6 HOUR THEN 1 END)::BIGINT AS train, count(CASE WHEN t >= origin - INTERVAL 6 HOUR AND t < origin THEN 1 END)::BIGINT AS embargo, count(CASE WHEN t >= origin AND t < origin + INTERVAL 5 DAY THEN 1 END)::BIGINT AS validation FROM og JOIN pre ON og.series = pre.series AND t < origin + INTERVAL 5 DAY GROUP BY ALL"))
 def rolling_origins(spark, d):
     """Rows of growing training spans and of the validation days after each, six hours apart."""

@@ -38,13 +38,24 @@ def journal_entries(lines: DataFrame) -> DataFrame:
     return rows.select(*[F.try_element_at("_m", F.lit(c)).alias(c) for c in JOURNAL_COLUMNS], F.when(F.size(extra) > 0, F.to_json(extra)).alias("extra"))
 
 
+#: Fixed value: a station further away is one of another city.
+MAX_STATION_KM = 60.0
+
+
 def station_rows(feed: DataFrame) -> DataFrame:
-    """(line) -> (name, lat, lon, aqi): the city is an object or a list of them; readings that are no number are NULL."""
-    data = F.from_json("line", "struct<data: struct<aqi: string, city: string>>")["data"]
-    city = F.coalesce(F.from_json(data["city"], CITY, {"mode": "PERMISSIVE"}), F.get(F.from_json(data["city"], f"array<{CITY}>"), 0))
+    """(line) -> (name, lat, lon, aqi, pm25, pm10): the city is an object or a list of them; readings that are no number are NULL, an index that is no whole number too."""
+    data = F.from_json("line", "struct<data: struct<aqi: string, city: string, iaqi: string>>")["data"]
     as_list = F.get(F.from_json(data["city"], f"array<{CITY}>"), 0)
-    pick = F.when(data["city"].startswith("["), as_list).otherwise(city)
-    return feed.select(pick["name"].alias("name"), F.get(pick["geo"], 0).alias("lat"), F.get(pick["geo"], 1).alias("lon"), data["aqi"].try_cast("double").alias("aqi"))
+    pick = F.when(data["city"].startswith("["), as_list).otherwise(F.from_json(data["city"], CITY))
+    own = F.from_json(data["iaqi"], "struct<pm25: string, pm10: string>")
+    place = lambda k: F.when(F.size(pick["geo"]) == 2, F.get(pick["geo"], k))
+    return feed.select(pick["name"].alias("name"), place(0).alias("lat"), place(1).alias("lon"), data["aqi"].try_cast("long").alias("aqi"), *[own[k].try_cast("double").alias(k) for k in ("pm25", "pm10")])
+
+
+def usable_stations(stations: DataFrame, km: Column, most_km: float = MAX_STATION_KM) -> DataFrame:
+    """Stations with any reading that are near enough, or whose place isn't known."""
+    rows = stations.withColumn("km", km)
+    return rows.where("aqi IS NOT NULL OR pm25 IS NOT NULL OR pm10 IS NOT NULL").where(F.col("km").isNull() | (F.col("km") <= most_km))
 
 
 def table_cells(lines: DataFrame) -> DataFrame:
