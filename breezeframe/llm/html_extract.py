@@ -114,9 +114,9 @@ def parse(html: str) -> Page:
     while (at := html.find("<", at)) >= 0:
         follows = html[at + 1 : at + 2]
         if follows in ("!", "?") or follows == "/" and not html[at + 2 : at + 3].isalpha():
-            end = html.find("-->", at + 4) + 2 if html.startswith("<!--", at) else html.find(">", at)
-            m = None
-            end = len(html) if end < at else end + 1
+            mark = "-->" if html.startswith("<!--", at) else ">"
+            m, last = None, html.find(mark, at + len(mark) + 1 if mark == "-->" else at)
+            end = len(html) if last < 0 else last + len(mark)
         elif follows == "/" or follows.isalpha() and follows.isascii():
             m = TAG.match(html, at)
             end = m.end() if m else len(html)

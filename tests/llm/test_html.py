@@ -84,3 +84,9 @@ def test_query(spark, model):
     assert sorted(r["page_id"] for r in got) == sorted(pages)
     for r in got:
         assert r["text"] == he.extract([pages[r["page_id"]]["html"] or ""], model)[0] and r["n_chars"] == len(r["text"]) and r["url"] == pages[r["page_id"]]["url"]
+
+
+def test_a_comment_that_never_ends_has_no_text():
+    for at in ("", "x", "<p>before</p>"):
+        page = he.parse(f"{at}<!-- secret menu <p>Hello")
+        assert "secret" not in "".join(t or "" for _, t in page.runs) and "Hello" not in "".join(t or "" for _, t in page.runs)
