@@ -34,6 +34,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,8 @@ SEPARATOR = "\x00"
 #: for A's rule for white space looks at what follows.
 RULES = [rf"([{LETTER}.,]\n)([{LETTER}])", rf"([.,])([{LETTER}])", rf"([{LETTER}])([.,\n])", rf"([{LETTER}.,\n])( [{LETTER}])"]
 BLOCK_BYTES = 8 << 20
+#: Blocks are dealt out with their segments in so many slices.
+SLICES = 2
 #: Segments that reach the tokenizers together.
 ENCODE = 4000
 BLOCKS = "block long, doc_id long, numbers binary, number int, segment string, n long"
@@ -96,6 +99,15 @@ def segmented(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return numbered.indices.to_numpy().astype(np.int64), numbered.dictionary, counts
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers as bytes, all low ones first: the high ones are mostly zero and take no room once compressed."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) -> a row for each text with its segments' numbers, and one for each distinct segment of a block with its number and occurrences."""
     names = [x.split()[0] for x in BLOCKS.split(", ")]
@@ -110,9 +122,8 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.argsort(-times, kind="stable")
             rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(len(order), dtype=np.int32)
-            ends = np.cumsum(counts) * 4
-            raw, n, m = rank[numbers].tobytes(), hi - lo, len(order)
-            docs = pa.array([raw[b - 4 * k : b] for b, k in zip(ends.tolist(), counts.tolist())], types[2])
+            own, n, m = np.split(rank[numbers], np.cumsum(counts)[:-1]), hi - lo, len(order)
+            docs = pa.array([packed(x) for x in own], types[2])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), batch.column(0)[lo:hi], docs, *[pa.nulls(n, t) for t in types[3:]]], names=names)
             rows = pa.Table.from_arrays([pa.array(np.full(m, block)), pa.nulls(m, types[1]), pa.nulls(m, types[2]), pa.array(np.arange(m, dtype=np.int32)), pc.cast(segments.take(pa.array(order)), types[4]), pa.array(times[order])], names=names)
             yield from rows.to_batches(100_000)
@@ -200,7 +211,7 @@ def stretches(tokens: DataFrame) -> DataFrame:
 
 def aligned(tokens: DataFrame) -> DataFrame:
     """tokens -> (sid, n_a, n_b, n_groups, n_links, groups, links): groups as `a1,a2|b1;...`, links as an array of (a_id, b_id)."""
-    inner = F.array_sort(F.collect_list(F.struct("end", "a_id", "b_id", "a_of", "b_of")))
+    inner = F.sort_array(F.collect_list(F.struct("end", "a_id", "b_id", "a_of", "b_of")))
     rows = stretches(tokens).groupBy("sid").agg(inner.alias("_in"), F.count("a_id").alias("n_a"), F.count("b_id").alias("n_b"), F.max("grp").cast("long").alias("n_groups"))
     ends = lambda x: x["a_id"].isNotNull() & x["b_id"].isNotNull()
     rows = rows.withColumn("_cuts", F.filter(F.sequence(F.lit(1), F.size("_in")), lambda k: ends(F.get("_in", k - 1))))
@@ -233,14 +244,14 @@ def pair_counts(rows: DataFrame, times: DataFrame) -> DataFrame:
 
 def _spoiled(docs: pa.Table, bad: pa.Table) -> pa.Table:
     """The occurrences of a block's segments in texts that have one of the bad ones."""
-    wrong, lost = np.array(bad.column("number").to_pylist(), np.int32), []
+    wrong, lost = np.array(bad.column("number").to_pylist(), np.int64), []
     for raw in docs.column("numbers").to_pylist():
-        own = np.frombuffer(raw, "<i4")
+        own = unpacked(raw)
         if np.isin(own, wrong).any():
             lost.append(own)
-    number, n = np.unique(np.concatenate([np.empty(0, np.int32), *lost]), return_counts=True)
+    number, n = np.unique(np.concatenate([np.empty(0, np.int64), *lost]), return_counts=True)
     block = docs.column("block")[0].as_py() if docs.num_rows else 0
-    return pa.table({"block": pa.array([block] * len(number), pa.int64()), "number": pa.array(number, pa.int32()), "lost": pa.array(n.astype(np.int64))})
+    return pa.table({"block": pa.array([block] * len(number), pa.int64()), "number": pa.array(number.astype(np.int32)), "lost": pa.array(n.astype(np.int64))})
 
 
 def sound_times(blocks: DataFrame, segments: DataFrame) -> DataFrame:
@@ -268,7 +279,7 @@ def _digested(docs: pa.Table, rows: pa.Table) -> pa.Table:
     groups = [x.encode() for x in rows.column("groups").take(pa.array(order)).to_pylist()]
     out = []
     for doc_id, raw in zip(docs.column("doc_id").to_pylist(), docs.column("numbers").to_pylist()):
-        own = np.frombuffer(raw, "<i4")
+        own = unpacked(raw)
         if len(own) and fits[own].all():
             text = b";".join([groups[k] for k in own.tolist()])
             out.append((doc_id, *[int(x[own].sum()) for x in sums], hashlib.sha256(text).hexdigest()))
@@ -304,11 +315,17 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None)
 
 
 def document_digests(docs: DataFrame, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
-    """DIGESTS of docs (doc_id, text), one row a text."""
+    """DIGESTS of docs (doc_id, text), one row a text, as stored tables; blocks are worked through in SLICES by hash, so that only a slice is dealt out at once."""
     blocks, rows = align(docs, path_a, path_b)
-    texts = blocks.where("numbers IS NOT NULL").select("block", "doc_id", "numbers")
-    parts = blocks.where("number IS NOT NULL").select("block", "number", "segment").join(rows, "segment").drop("segment")
-    return texts.groupBy("block").cogroup(parts.toDF(*parts.columns).groupBy("block")).applyInArrow(_digested, DIGESTS)
+    out = []
+    for k in range(SLICES):
+        own = blocks.where(F.pmod(F.xxhash64("block"), F.lit(SLICES)) == k)
+        texts = own.where("numbers IS NOT NULL").select("block", "doc_id", "numbers")
+        parts = own.where("number IS NOT NULL").select("block", "number", "segment").join(rows, "segment").drop("segment")
+        out.append(stored(texts.groupBy("block").cogroup(parts.toDF(*parts.columns).groupBy("block")).applyInArrow(_digested, DIGESTS), "alignment-digests"))
+    for part in (blocks, rows):
+        discard(part)
+    return reduce(DataFrame.unionByName, out)
 
 
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
