@@ -21,6 +21,31 @@ def trim_words(text: Column, limit: int) -> Column:
     return F.when(F.size(w) <= limit, F.array_join(w, " ")).when(whole != "", whole).otherwise(F.concat(head, F.lit("...")))
 
 
+def whole_sentences(text: Column, limit: int) -> Column:
+    """A text of at most `limit` words as it is; else its first whole sentences that fit together, or cut to words if not even the first fits."""
+    sentences = F.split(text, r"(?<=[.!?])\s+")
+    sizes = F.transform(sentences, lambda s: F.size(words(s)))
+    # A running sum never falls, so sentences are taken until it passes the limit.
+    step = lambda s, n: F.struct((s["sum"] + n).alias("sum"), (s["kept"] + (s["sum"] + n <= limit).cast("int")).alias("kept"))
+    kept = F.aggregate(sizes, F.struct(F.lit(0).alias("sum"), F.lit(0).alias("kept")), step)["kept"]
+    return F.when(F.size(words(text)) <= limit, text).when(kept > 0, F.trim(F.array_join(F.slice(sentences, F.lit(1), kept), " "))).otherwise(trim_words(text, limit))
+
+
+def answer_parts(response: Column) -> Column:
+    """The answer in a model's JSON response as (text, finish, error): the parts that are no thought, each trimmed, of the first candidate.
+
+    Text is NULL where `error` says why: no candidates, a thought alone, or nothing.
+    """
+    part = "struct<text: string, thought: boolean>"
+    r = F.from_json(response, f"struct<candidates: array<struct<content: struct<parts: array<{part}>>, finishReason: string>>, promptFeedback: struct<blockReason: string>>")
+    first = F.get(r["candidates"], 0)
+    parts = F.coalesce(first["content"]["parts"], F.array().cast(f"array<{part}>"))
+    thought = lambda p: F.coalesce(p["thought"], F.lit(False))
+    answer = F.trim(F.array_join(F.transform(F.filter(parts, lambda p: ~thought(p)), lambda p: F.trim(F.coalesce(p["text"], F.lit("")))), ""))
+    error = F.when(first.isNull(), F.lit("no candidates")).when(answer != "", F.lit(None)).when(F.exists(parts, thought), F.lit("a thought alone")).otherwise(F.concat(F.lit("empty: "), F.coalesce(r["promptFeedback"]["blockReason"], F.lit("no reason"))))
+    return F.struct(F.when(error.isNull(), answer).alias("text"), F.when(error.isNull(), F.coalesce(F.nullif(first["finishReason"], F.lit("")), F.lit("UNKNOWN"))).alias("finish"), error.alias("error"))
+
+
 def drop_sentences(text: Column, phrases: tuple[str, ...]) -> Column:
     """Sentences that hold one of the phrases between spaces go; runs of spaces become one."""
     pattern = r"(?i)[^.!?]* (?:" + "|".join(phrases) + r") [^.!?]*[.!?]"

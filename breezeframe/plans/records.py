@@ -122,6 +122,35 @@ def trimmed_texts(spark, d):
     return ad.table(spark, d, "documents").select("doc_id", tx.trim_words(F.col("text"), 40).alias("short"))
 
 
+_SENTENCES = r"string_split(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1))"
+
+
+@query(f"""WITH s AS (SELECT doc_id, text, {_WORDS} AS w, {_SENTENCES} AS ss FROM documents),
+p AS (SELECT doc_id, k, sum(n) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM (SELECT doc_id, k, len({_WORDS}) AS n FROM (SELECT doc_id, unnest(ss) AS text, generate_subscripts(ss, 1) AS k FROM s))),
+c AS (SELECT doc_id, count(CASE WHEN upto <= 112 THEN 1 END) AS kept FROM p GROUP BY doc_id),
+h AS (SELECT s.*, kept, array_to_string(w[1:112], ' ') AS h FROM s LEFT JOIN c USING (doc_id))
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN len(w) <= 112 THEN text WHEN kept > 0 THEN trim(array_to_string(ss[1:kept], ' '))
+  WHEN regexp_extract(h, '^(.*[.!?])', 1) <> '' THEN regexp_extract(h, '^(.*[.!?])', 1) ELSE h || '...' END AS kept_text FROM h""")
+def whole_sentences(spark, d):
+    """Each text's first whole sentences of 112 words together."""
+    return ad.table(spark, d, "documents").select("doc_id", tx.whole_sentences(F.col("text"), 112).alias("kept_text"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 4 < 2 AND trim(text) <> '' THEN trim(text) END AS answer,
+  CASE WHEN turn % 4 < 2 AND trim(text) <> '' THEN CASE turn % 4 WHEN 0 THEN 'STOP' ELSE 'UNKNOWN' END END AS finish,
+  CASE WHEN turn % 4 = 3 THEN 'no candidates' WHEN turn % 4 = 2 THEN 'a thought alone' WHEN trim(text) <> '' THEN NULL ELSE 'a thought alone' END AS error FROM conversations WHERE text IS NOT NULL""")
+def answer_texts(spark, d):
+    """Turns as a model's responses: a thought and the answer, with and without a finish, a thought alone, and no candidate."""
+    kind = F.col("turn") % 4
+    thought = F.struct(F.lit("let me see").alias("text"), F.lit(True).alias("thought"))
+    said = F.struct(F.concat(F.lit(" "), "text").alias("text"), F.lit(None).cast("boolean").alias("thought"))
+    parts = F.when(kind < 2, F.array(thought, said)).otherwise(F.array(thought))
+    candidate = F.struct(F.struct(parts.alias("parts")).alias("content"), F.when(kind == 0, "STOP").alias("finishReason"))
+    response = F.when(kind < 3, F.to_json(F.struct(F.array(candidate).alias("candidates")))).otherwise(F.lit('{"candidates": []}'))
+    rows = ad.table(spark, d, "conversations").where("text IS NOT NULL").select("conv_id", "turn", tx.answer_parts(response).alias("a"))
+    return rows.select("conv_id", "turn", F.col("a.text").alias("answer"), "a.finish", "a.error")
+
+
 @query(r"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '(?i)[^.!?]* (?:the|les|der) [^.!?]*[.!?]', '', 'g'), '\s+', ' ', 'g')) AS kept FROM conversations")
 def dropped_sentences(spark, d):
     return ad.table(spark, d, "conversations").select("conv_id", "turn", tx.drop_sentences(F.col("text"), ("the", "les", "der")).alias("kept"))
