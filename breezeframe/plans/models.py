@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import calibration as ca
 from ..operators import metrics as me
 from ..operators import models as mo
 from ..operators import series as se
@@ -68,3 +69,21 @@ def model_baselines(spark, d):
     top = counts.agg(F.max(F.struct("n", (-F.col("label")).alias("m"))).alias("b")).select((-F.col("b.m")).alias("majority"))
     test = rows.where("part = 'test'").join(F.broadcast(top), F.lit(True))
     return test.agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("majority")).alias("majority_hits"), F.count_if(F.col("label") == F.col("pred")).alias("persistence_hits"))
+
+
+@query()
+def model_risk(spark, d):
+    """A row for each weight of the grid with its choice on development rows; the chosen one with its threshold and calibration errors before and after."""
+    rows = ca.with_phase(mo.as_doubles(se.with_lags(h.labelled(spark, d))).withColumn("pred", F.col("pred").cast("double"))).select("series", "t", "phase", "label", "pred", *mo.INPUTS)
+    rows = rows.persist()
+    train, development, calibration, selection = (rows.where(F.col("phase") == p) for p in ca.PHASES)
+    model, weight, found = ca.weighted_grid(train, development)
+    scaler = ca.platt(ca.with_risk(model, calibration))
+    raw = ca.with_risk(model, selection)
+    own = ca.calibrated(scaler, raw)
+    baseline = selection.agg(F.avg((F.col("label") == F.col("pred")).cast("double"))).first()[0] or 0.0
+    choice = ca.choose(own, baseline)
+    before, after = (ca.calibration_error(x).first()["ece"] for x in (raw, own))
+    out = [(w, c and c.threshold, c and c.recall, c and c.false_alarms, w == weight, *((choice and choice.threshold, before, after) if w == weight else (None, None, None))) for w, c in found.items()]
+    rows.unpersist()
+    return spark.createDataFrame(out, "weight double, threshold double, recall double, false_alarms double, chosen boolean, final_threshold double, ece_before double, ece_after double")
