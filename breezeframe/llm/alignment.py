@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, local_threads, stored, table
@@ -56,9 +56,9 @@ BLOCK_BYTES = 8 << 20
 #: Blocks are dealt out with their segments in so many slices.
 SLICES = 2
 #: Segments that reach the tokenizers together.
-ENCODE = 4000
+ENCODE = 2000
 BLOCKS = "block long, doc_id long, numbers binary, number int, segment string, n long"
-TOKENS = "segment string, n long, fits boolean, a array<int>, a_lengths array<int>, b array<int>, b_lengths array<int>"
+TOKENS = "segment string, n long, fits boolean, first_b int, ids array<int>, lengths array<int>"
 DIGESTS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
@@ -82,6 +82,7 @@ def segmented(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     # A text that has the separator itself stays whole.
     whole = pc.match_substring(spaced, SEPARATOR)
     parts = pc.split_pattern(pc.if_else(whole, pa.scalar("", texts.type), cut), SEPARATOR)
+    del cut
     found = parts.flatten().to_pylist() if pc.any(whole).as_py() else None
     if found is not None:
         found, at = [], parts.to_pylist()
@@ -114,8 +115,10 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.string(), pa.int64()]
     block = TaskContext.get().partitionId() << 32
     for batch in batches:
-        texts = pc.fill_null(batch.column(1), "")
+        texts = batch.column(1)
+        texts = pc.fill_null(texts, "") if texts.null_count else texts
         for lo, hi in slices(texts, BLOCK_BYTES):
+            pa.default_memory_pool().release_unused()
             numbers, segments, counts = segmented(texts[lo:hi])
             times = np.bincount(numbers, minlength=len(segments))
             # Frequent segments get small numbers, which compress well.
@@ -128,6 +131,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = pa.Table.from_arrays([pa.array(np.full(m, block)), pa.nulls(m, types[1]), pa.nulls(m, types[2]), pa.array(np.arange(m, dtype=np.int32)), pc.cast(segments.take(pa.array(order)), types[4]), pa.array(times[order])], names=names)
             yield from rows.to_batches(100_000)
             block += 1
+            del numbers, segments, counts, own, rank, rows, docs
 
 
 class Tokens:
@@ -148,6 +152,7 @@ class Tokens:
         vocabulary = self.a.get_vocab(with_added_tokens=True)
         self.bytes_a = {i: bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for t, i in vocabulary.items()}
         self.bytes_b = {i: self.piece_bytes(i) for i in range(self.b.get_piece_size())}
+        self.length_a, self.length_b = ({i: len(x) for i, x in of.items()} for of in (self.bytes_a, self.bytes_b))
         rule = json.loads(self.a.pre_tokenizer.__getstate__())
         crossing = [t for t in map(self.b.id_to_piece, self.bytes_b) if any(re.search(p, t.replace("▁", " ")) for p in RULES) or "\n" in t]
         if rule.get("type") != "ByteLevel" or not rule.get("use_regex") or crossing:
@@ -169,10 +174,8 @@ def _tokens(path_a: str, path_b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Tokens(path_a, path_b)
 
-        def lists(ids: list[list[int]], of: dict[int, bytes]) -> tuple[pa.Array, pa.Array]:
-            flat = [i for x in ids for i in x]
-            ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
-            return pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32())), pa.ListArray.from_arrays(ends, pa.array([len(of[i]) for i in flat], pa.int32()))
+        def lists(flat: list[list[int]]) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in flat])]).astype(np.int32)), pa.array([i for x in flat for i in x], pa.int32()))
 
         for batch in batches:
             for at in range(0, batch.num_rows, ENCODE):
@@ -180,7 +183,8 @@ def _tokens(path_a: str, path_b: str):
                 segments = some.column(0).to_pylist()
                 ids_a, ids_b = own.encode(segments)
                 fits = [(raw := s.encode()) == b"".join(map(own.bytes_a.__getitem__, x)) and raw == b"".join(map(own.bytes_b.__getitem__, y)) for s, x, y in zip(segments, ids_a, ids_b)]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(fits, pa.bool_()), *lists(ids_a, own.bytes_a), *lists(ids_b, own.bytes_b)], names=[x.split()[0] for x in TOKENS.split(", ")])
+                lengths = [[*map(own.length_a.__getitem__, x), *map(own.length_b.__getitem__, y)] for x, y in zip(ids_a, ids_b)]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(fits, pa.bool_()), pa.array([len(x) for x in ids_a], pa.int32()), lists([x + y for x, y in zip(ids_a, ids_b)]), lists(lengths)], names=[x.split()[0] for x in TOKENS.split(", ")])
 
     return run
 
@@ -189,10 +193,10 @@ def _tokens(path_a: str, path_b: str):
 
 
 def token_ends(tokens: DataFrame) -> DataFrame:
-    """tokens (sid, a, a_lengths, b, b_lengths) -> (sid, side, id, end): a row for each token of either side (true: B) with the byte after it."""
-    sided = lambda c: F.zip_with(c, f"{c}_lengths", lambda i, n: F.struct(F.lit(c == "b").alias("side"), i.alias("id"), n.alias("length")))
+    """tokens (sid, first_b, ids, lengths), A's before B's -> (sid, side, id, end): a row for each token of either side (true: B) with the byte after it."""
     # Dealt out before the tokens become rows; all that follows is by segment too.
-    rows = tokens.repartition("sid").select("sid", F.posexplode(F.concat(sided("a"), sided("b"))).alias("pos", "t")).select("sid", "pos", "t.*")
+    rows = tokens.repartition("sid").select("sid", "first_b", F.posexplode(F.arrays_zip("ids", "lengths")).alias("pos", "t"))
+    rows = rows.select("sid", "pos", (F.col("pos") >= F.col("first_b")).alias("side"), F.col("t.ids").alias("id"), F.col("t.lengths").alias("length"))
     return rows.select("sid", "side", "id", F.sum("length").over(Window.partitionBy("sid", "side").orderBy("pos")).alias("end"))
 
 
@@ -209,8 +213,13 @@ def stretches(tokens: DataFrame) -> DataFrame:
     return both.select("*", F.sum(cut).over(back).cast("int").alias("grp"), *[F.last(f"{s}_id", True).over(back).alias(f"{s}_of") for s in ("a", "b")])
 
 
+def pair_of(a_id: Column, b_id: Column) -> Column:
+    """A pair of ids as one number, A's above the low 32 bits."""
+    return F.shiftleft(a_id.cast("long"), 32).bitwiseOR(b_id.cast("long"))
+
+
 def aligned(tokens: DataFrame) -> DataFrame:
-    """tokens -> (sid, n_a, n_b, n_groups, n_links, groups, links): groups as `a1,a2|b1;...`, links as an array of (a_id, b_id)."""
+    """tokens -> (sid, n_a, n_b, n_groups, n_links, groups, links): groups as `a1,a2|b1;...`, links as an array of pairs, see `pair_of`."""
     inner = F.sort_array(F.collect_list(F.struct("end", "a_id", "b_id", "a_of", "b_of")))
     rows = stretches(tokens).groupBy("sid").agg(inner.alias("_in"), F.count("a_id").alias("n_a"), F.count("b_id").alias("n_b"), F.max("grp").cast("long").alias("n_groups"))
     ends = lambda x: x["a_id"].isNotNull() & x["b_id"].isNotNull()
@@ -224,7 +233,7 @@ def aligned(tokens: DataFrame) -> DataFrame:
         return F.concat_ws("|", ids(own, "a_id"), ids(own, "b_id"))
 
     groups = F.array_join(F.transform("_cuts", text), ";")
-    links = F.transform("_in", lambda x: F.struct(x["a_of"].alias("a_id"), x["b_of"].alias("b_id")))
+    links = F.transform("_in", lambda x: pair_of(x["a_of"], x["b_of"]))
     return rows.select("sid", "n_a", "n_b", "n_groups", F.size("_in").cast("long").alias("n_links"), groups.alias("groups"), links.alias("links"))
 
 
@@ -232,12 +241,14 @@ def aligned(tokens: DataFrame) -> DataFrame:
 
 
 def pair_counts(rows: DataFrame, times: DataFrame) -> DataFrame:
-    """(a_id, b_id, count, best) of rows (sid, links) and times (sid, n): how many links hold each pair; best: no pair of its b_id has more."""
-    links = rows.select("sid", "links").join(times, "sid").select("n", F.inline("links"))
-    counts = stored(links.groupBy("a_id", "b_id").agg(F.sum("n").alias("count")), "alignment-counts")
-    highest = counts.groupBy("b_id").agg(F.max("count").alias("_most"))
+    """(pair, count, best) of rows (sid, links) and times (sid, n): how many links hold each pair; best: no pair of its B id has more."""
+    links = rows.select("sid", "links").join(times, "sid").select("n", F.explode("links").alias("pair"))
+    counts = stored(links.groupBy("pair").agg(F.sum("n").alias("count")), "alignment-counts")
+    b_id = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("b_id")
+    highest = counts.groupBy(b_id).agg(F.max("count").alias("_most"))
     # A row for each id of B's vocabulary at most.
-    out = stored(counts.join(F.broadcast(highest), "b_id").select("a_id", "b_id", "count", (F.col("count") == F.col("_most")).cast("int").alias("best")), "alignment-pairs")
+    out = counts.select("*", b_id).join(F.broadcast(highest), "b_id").select("pair", "count", (F.col("count") == F.col("_most")).cast("int").alias("best"))
+    out = stored(out, "alignment-pairs")
     discard(counts)
     return out
 
@@ -301,9 +312,9 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None)
     distinct = blocks.where("number IS NOT NULL").groupBy("segment").agg(F.sum("n").alias("n"))
     tokens = distinct.mapInArrow(_tokens(path_a or own[0], path_b or own[1]), TOKENS)
     segments = stored(tokens.withColumn("sid", F.monotonically_increasing_id()), "alignment-segments")
-    found = stored(aligned(segments.where("fits").select("sid", "a", "a_lengths", "b", "b_lengths")), "alignment-found")
+    found = stored(aligned(segments.where("fits").select("sid", "first_b", "ids", "lengths")), "alignment-found")
     pairs = pair_counts(found, sound_times(blocks, segments))
-    linked = found.select("sid", F.inline("links")).join(pairs, ["a_id", "b_id"]).groupBy("sid").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    linked = found.select("sid", F.explode("links").alias("pair")).join(pairs, "pair").groupBy("sid").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
     linked = stored(linked, "alignment-linked")
     discard(pairs)
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in SUMS]
