@@ -111,6 +111,19 @@ def parse(html: str) -> Page:
             open_tags[tags[top]] -= 1
             top = parent[top]
 
+    block = [ROOT]  # for each element, the nearest one around it, or itself, that is no inline element
+    stops: dict[str, dict[int, int]] = {}
+
+    def nearest_stop(tag: str) -> int:
+        """The nearest open element that a new `tag` closes, or that keeps it from closing any; each climb is made once."""
+        known, p, passed = stops.setdefault(tag, {}), top, []
+        while p != ROOT and p not in known and tags[p] not in SAME[tag] and (tags[p] not in SCOPE or tag == "tr" and tags[p] == "tr"):
+            passed.append(p)
+            p = parent[p]
+        found = known.get(p, p)
+        known.update(dict.fromkeys(passed, found))
+        return found
+
     while (at := html.find("<", at)) >= 0:
         follows = html[at + 1 : at + 2]
         if follows in ("!", "?") or follows == "/" and not html[at + 2 : at + 3].isalpha():
@@ -144,16 +157,12 @@ def parse(html: str) -> Page:
         has_body |= tag == "body"
         if tag not in INLINE:
             if tag in CLOSES_P:
-                p = top
-                while open_tags.get("p") and tags[p] in INLINE:
-                    p = parent[p]
+                p = block[top]
                 if tags[p] == "p":
                     close_up_to(parent[p])
             elif tag in SAME and any(map(open_tags.get, SAME[tag])):
-                p, own = top, SAME[tag]
-                while p != ROOT and tags[p] not in own and (tags[p] not in SCOPE or tag == "tr" and tags[p] == "tr"):
-                    p = parent[p]
-                if p != ROOT and tags[p] in own:
+                p = nearest_stop(tag)
+                if p != ROOT and tags[p] in SAME[tag]:
                     if tag == "tr" and tags[p] != "tr":
                         while p != ROOT and tags[p] != "tr":
                             p = parent[p]
@@ -162,6 +171,7 @@ def parse(html: str) -> Page:
         if tag in VOID:
             continue
         node = page.add(tag, m[3], top)
+        block.append(block[top] if tag in INLINE else node)
         if tag in RAW:  # all up to its end tag is text of it
             pattern = raw_ends.setdefault(tag, re.compile(rf"</{re.escape(tag)}\s*+>", re.I))
             close = pattern.search(html, at)

@@ -69,7 +69,7 @@ def test_quotes_count_after_an_equals_sign_only():
     assert said("<p a=\"x>y\" b='>'>k</p></q>l") == ["k", "l"] and said("a < b <c") == ["a < b "]
 
 
-@pytest.mark.parametrize("make", [lambda n: "<a " * n, lambda n: "<div>" * n + "</x>" * n, lambda n: "<b>" * n + "<hr>" * n, lambda n: "<!--" * n, lambda n: '<a b="' * n, lambda n: "<li><b>" * n])
+@pytest.mark.parametrize("make", [lambda n: "<a " * n, lambda n: "<div>" * n + "</x>" * n, lambda n: "<b>" * n + "<hr>" * n, lambda n: "<!--" * n, lambda n: '<a b="' * n, lambda n: "<li><b>" * n, lambda n: "<p><li>" + "<b>" * n + "<hr>" * n, lambda n: "<td><ul>" + "<b>" * n + "<td/>" * n])
 def test_parsing_takes_linear_time(make):
     began = time.process_time()
     he.parse(make(40_000))
@@ -90,3 +90,19 @@ def test_a_comment_that_never_ends_has_no_text():
     for at in ("", "x", "<p>before</p>"):
         page = he.parse(f"{at}<!-- secret menu <p>Hello")
         assert "secret" not in "".join(t or "" for _, t in page.runs) and "Hello" not in "".join(t or "" for _, t in page.runs)
+
+
+def test_which_elements_a_new_one_closes():
+    """Inline elements between don't matter to a paragraph's end; lists and tables keep what is outside them open."""
+    def path(html):
+        p = he.parse(html)
+        k, out = len(p.tags) - 1, []
+        while k > 0:
+            out.insert(0, p.tags[k])
+            k = p.parent[k]
+        return " ".join(out)
+
+    assert path("<p><b><i><div>") == "div" and path("<div><b><p><i><ul>") == "div b ul" and path("<p><li><b><ul>") == "p li b ul"
+    assert path("<ul><li><b><li>") == "ul li" and path("<ul><li><ol><b><li>") == "ul li ol b li" and path("<li><span><b></b><b><li>") == "li"
+    assert path("<table><tr><td><b><td>") == "table tr td" and path("<table><tr><td><i><tr>") == "table tr" and path("<table><tr><td><table><tr><td><td>") == "table tr td table tr td"
+    assert path("<td><ul><b><td/><td>") == "td ul b td" and path("<dl><dt><b><dd><i><dt>") == "dl dt"
