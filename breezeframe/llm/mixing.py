@@ -10,7 +10,7 @@ documents within a fine bin), so a source with a third of all rows is spread ove
 as many tasks as its keys have bins and no window holds a whole source.
 
 Nulls and ties: a null text has size 0; a null source is a source of its own,
-last in order; a null doc_id draws the key of an empty id. Rows with equal keys
+last in order; a null doc_id draws its key from the text alone. Rows with equal keys
 are ordered by doc_id and a text digest; wholly equal rows are interchangeable.
 A very long text is one size like any other. An empty table gives an empty result.
 Other columns keep their values, whatever their names.
@@ -39,9 +39,13 @@ def quality_weight(text: Column, size: Column) -> Column:
     return F.when(size > 0, size / (size + 4 * symbols)).otherwise(F.lit(1.0)).cast("double")
 
 
-def exponential_key(doc_id: Column, weight: Column, seed: str = SEED) -> Column:
-    """-ln(u) / weight with u from the document's id, the same in every run."""
-    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+def exponential_key(doc_id: Column, text: Column, weight: Column, seed: str = SEED) -> Column:
+    """-ln(u) / weight with u from the document's id and text, the same in every run.
+
+    Unlike texts under one id, or under none, so draw keys of their own.
+    """
+    own = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}:"), own).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 0.5) / float(2**52)
     return -F.ln(u) / weight
 
@@ -82,7 +86,7 @@ def _mixed(docs: DataFrame, seed: str, carried: list[str]) -> DataFrame:
             "doc_id",
             "size",
             F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1")).alias("_src"),
-            exponential_key(F.col("doc_id"), quality_weight(F.col("text"), F.col("size")), seed).alias("_key"),
+            exponential_key(F.col("doc_id"), F.col("text"), quality_weight(F.col("text"), F.col("size")), seed).alias("_key"),
             F.xxhash64("text").alias("_tie"),
         )
         # Never null, so that the joins below do not test them for it, which would count the words again.
@@ -145,7 +149,7 @@ WITH d AS (
   FROM documents),
 k AS (
   SELECT doc_id, source, size, md5(coalesce(text, '')) AS tie,
-         -ln((('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix-1'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)
+         -ln((('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix-1:' || md5(coalesce(text, ''))), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)
            / (CASE WHEN size > 0 THEN size::DOUBLE / (size + 4 * symbols) ELSE 1.0 END) AS key
   FROM d),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),

@@ -53,6 +53,14 @@ def test_same_again_and_rows_repeat(spark):
     assert max(times) >= 2
 
 
+def test_unlike_texts_of_one_id_draw_their_own_keys(spark):
+    """Texts without an id, all of one size, spread over keys; the same text under the same id draws the same key."""
+    rows = [(None, f"word{i} " * 5) for i in range(500)] + [(7, "one text"), (7, "one text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = docs.select(mixing.exponential_key(docs["doc_id"], docs["text"], mixing.F.lit(1.0)).alias("k"))
+    assert keys.distinct().count() == 501
+
+
 def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
 
