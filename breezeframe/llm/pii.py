@@ -19,7 +19,7 @@ The words of patterns are counted over the whole corpus. A bit map of fixed size
 most other words from being shuffled; what it lets through a join drops.
 
 Nulls and ties: a null text is empty and has no spans; a null doc_id is kept; repeated
-rows have equal results. Words of over 64 characters are no context. A very long text is
+rows have equal results. Words and keys of over 64 characters are no context. A very long text is
 read in linear time. An empty table gives an empty result. Extra columns are ignored,
 whatever their names.
 """
@@ -53,6 +53,8 @@ KEY = re.compile(r"^(.*[=:])(?=[^=:])")
 VALUE = re.compile(r"[=:][\x20\t]{0,3}(?:\"([^\"\s]{1,200})\"|'([^'\s]{1,200})'|([^\s\"'=:]{1,200}))")
 #: A key at the end of what stands before a value.
 KEY_BEFORE = re.compile(r"([^\W\d][\w.-]{0,63})[\"']?[\x20\t]{0,3}[=:][\x20\t]{0,3}[\"'(\[{<]{0,2}\Z")
+#: What a key's name may hold, and what it may begin with.
+KEY_PART, KEY_HEAD = re.compile(r"[\w.-]"), re.compile(r"[^\W\d]")
 EDGES = "\"'()[]{}<>,.;:!?"
 HEX = re.compile(r"[0-9a-fA-F]{24,}")
 MIXED = re.compile(r"[A-Za-z0-9_+/=-]{20,}")
@@ -121,6 +123,17 @@ def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
+def key_before(text: str, start: int) -> str | None:
+    """The key whose value begins at a place; a name that goes on further back than a key may be long is none."""
+    key = KEY_BEFORE.search(text, max(0, start - 80), start)
+    at = key.start(1) - 1 if key else -1
+    while at >= 0 and KEY_PART.match(text[at]):
+        if KEY_HEAD.match(text[at]):
+            return None
+        at -= 1
+    return key and key[1]
+
+
 def unknown_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Candidates that touch no base span, in order: tokens that look like identifiers, and values of keys."""
     found, at = set(), 0
@@ -141,7 +154,7 @@ def unknown_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[in
     if "=" in text or ":" in text:
         for m in VALUE.finditer(text):
             start, end = trimmed(text, *m.span(m.lastindex))
-            if start < end and KEY_BEFORE.search(text, max(0, start - 80), start):
+            if start < end and key_before(text, start):
                 found.add((start, end))
     # Of overlapping candidates the first stays; base spans are in order too.
     out, last, k = [], 0, 0
@@ -201,8 +214,8 @@ def word_after(text: str, end: int) -> str | None:
 
 def patterns(text: str, start: int, end: int) -> list[str]:
     """The lexical patterns around a mention: its key, or else the words before and after."""
-    if key := KEY_BEFORE.search(text, max(0, start - 80), start):
-        return [f"K {normal(key[1])}"]
+    if key := key_before(text, start):
+        return [f"K {normal(key)}"]
     if start > 0 and not text[start - 1].isspace() and text[start - 1] not in EDGES:
         return []  # within a word
     glued = start

@@ -132,3 +132,10 @@ def test_odd_rows(spark, documents):
     out = sorted(((r["doc_id"], len(r["base"]), len(r["added"])) for r in pii.find_personal_data(docs).collect()), key=str)
     assert out == [(1, 0, 0), (2, 0, 0), (2, 0, 0), (3, 0, 0), (None, 1, 0)]
     assert pii.find_personal_data(documents([])).count() == 0
+
+
+def test_keys_are_whole_or_none():
+    at = lambda t: pii.key_before(t, len(t))
+    assert at("my token = ") == "token" and at("--token='") == "token" and at('"api.key-1": "') == "api.key-1" and at("9ab=") == "ab"
+    assert at("k" * 64 + "=") == "k" * 64 and at("k" * 65 + "=") is None and at("k" * 100 + ": ") is None and at("ab" + "." * 80 + "c=") is None
+    assert at("plain words ") is None and at("") is None and at("=") is None
