@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 INPUTS = ("effective", "instant", "temp_c", "apparent_c", "precip_mm", "precip_prob", "humidity", "wind_kmh", "lag1", "lag3", "lag6", "rolling3", "rolling6")
 CLASSES = 6
+# Fixed values of the consensus: weights of its three models, and the moderate class's threshold.
+CONSENSUS, MODERATE = (0.50, 0.35, 0.15), 0.31
 
 
 def prepared(inputs: tuple[str, ...] = INPUTS) -> list:
@@ -36,9 +38,9 @@ def with_class_weights(train: DataFrame) -> DataFrame:
     return train.join(F.broadcast(weights), "label")
 
 
-def forest(trees: int = 60):
+def forest(trees: int = 60, depth: int = 8, least: int = 1):
     """Trees over rows with a `weight`."""
-    return Pipeline(stages=[*prepared(), RandomForestClassifier(numTrees=trees, maxDepth=8, weightCol="weight", seed=7)])
+    return Pipeline(stages=[*prepared(), RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=least, weightCol="weight", seed=7)])
 
 
 def boosted(rounds: int = 8):
@@ -66,6 +68,11 @@ def blend(parts: list[tuple[str, float]]) -> Column:
     return out
 
 
+def most_likely(p: Column) -> Column:
+    """The class of the highest probability, the first of equal ones."""
+    return (F.array_position(p, F.array_max(p)) - 1).cast("int")
+
+
 def moderate_rule(p: Column, threshold: float) -> Column:
     """The most likely class, but class 2 where a lower one wins and class 2 has the threshold's chance."""
     top = F.array_position(p, F.array_max(p)) - 1

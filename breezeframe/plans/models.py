@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import boosting as bo
 from ..operators import calibration as ca
 from ..operators import metrics as me
 from ..operators import models as mo
@@ -51,6 +52,26 @@ def model_blend(spark, d):
     return hit_rate(two.withColumn("prediction", mo.moderate_rule(mo.blend([("p1", 0.5), ("p2", 0.5)]), 0.35).cast("double")), "blend")
 
 
+@query()
+def model_softmax(spark, d):
+    """Boosting of all classes at once, beside the share that persistence gets right."""
+    train, test = parts(spark, d)
+    scored = bo.with_chances(test, bo.fit(train, mo.INPUTS), "p").withColumn("prediction", mo.most_likely(F.col("p")))
+    out = scored.agg(F.lit("softmax").alias("model"), F.count("*").alias("n"), *[rounded(F.avg((F.col(c) == F.col("label")).cast("double")), 4).alias(name) for c, name in (("prediction", "accuracy"), ("pred", "persistence"))])
+    return out
+
+
+@query()
+def model_consensus(spark, d):
+    """Three models' probabilities at fixed weights: boosting, boosting with classes weighed by the root of their balance, and a forest; then the rule for the moderate class."""
+    train, test = parts(spark, d)
+    damped = mo.with_class_weights(train).withColumn("weight", F.sqrt("weight"))
+    scored = bo.with_chances(bo.with_chances(test, bo.fit(train, mo.INPUTS), "p1"), bo.fit(damped, mo.INPUTS), "p2")
+    plain = train.withColumn("weight", F.lit(1.0))
+    scored = mo.probabilities(mo.forest(depth=14, least=3).fit(plain).transform(scored), "p3")
+    return hit_rate(scored.withColumn("prediction", mo.moderate_rule(mo.blend(list(zip(("p1", "p2", "p3"), mo.CONSENSUS))), mo.MODERATE).cast("double")), "consensus")
+
+
 @query()
 def model_ridge(spark, d):
     train, test = parts(spark, d)
