@@ -14,6 +14,23 @@ INPUTS = ("effective", "instant", "temp_c", "apparent_c", "precip_mm", "precip_p
 CLASSES = 6
 # Fixed values of the consensus: weights of its three models, and the moderate class's threshold.
 CONSENSUS, MODERATE = (0.50, 0.35, 0.15), 0.31
+#: Rows of a task in fits that pass over them again and again.
+ROWS_A_TASK = 20_000
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """df, cached in partitions of about ROWS_A_TASK rows.
+
+    Windows over a few series leave most shuffle partitions empty, and each pass of a fit starts a task for each.
+    """
+    kept = df.persist()
+    wanted = max(1, -(-kept.count() // ROWS_A_TASK))
+    if wanted >= kept.rdd.getNumPartitions():
+        return kept
+    out = kept.repartition(wanted).persist()
+    out.count()
+    kept.unpersist()
+    return out
 
 
 def prepared(inputs: tuple[str, ...] = INPUTS) -> list:

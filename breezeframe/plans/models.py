@@ -17,7 +17,7 @@ from .sql import LABELLED_SQL, with_views
 def parts(spark, d):
     rows = se.chronological_split(se.with_lags(h.labelled(spark, d)))
     rows = mo.as_doubles(rows).select("series", "t", "part", "label", "pred", "target", *mo.INPUTS)
-    return rows.where("part = 'train'").cache(), rows.where("part = 'test'")
+    return mo.packed(rows.where("part = 'train'")), rows.where("part = 'test'")
 
 
 def hit_rate(scored, name):
@@ -96,7 +96,7 @@ def model_baselines(spark, d):
 def model_risk(spark, d):
     """A row for each weight of the grid with its choice on development rows; the chosen one with its threshold and calibration errors before and after."""
     rows = ca.with_phase(mo.as_doubles(se.with_lags(h.labelled(spark, d))).withColumn("pred", F.col("pred").cast("double"))).select("series", "t", "phase", "label", "pred", *mo.INPUTS)
-    rows = rows.persist()
+    rows = mo.packed(rows)
     train, development, calibration, selection = (rows.where(F.col("phase") == p) for p in ca.PHASES)
     model, weight, found = ca.weighted_grid(train, development)
     scaler = ca.platt(ca.with_risk(model, calibration))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from breezeframe.operators import boosting as bo
 from breezeframe.plans import QUERIES
+from breezeframe.plans import models as model_plans
 
 
 def rows_of(spark, n=1200):
@@ -66,3 +67,8 @@ def test_odd_rows(spark):
 def test_beats_persistence(spark):
     r = QUERIES["model_softmax"](spark, "/root/testdata/sf0.01").first()
     assert r["n"] > 0 and r["accuracy"] >= r["persistence"]
+
+
+def test_training_rows_lie_in_few_partitions(spark):
+    train, _ = model_plans.parts(spark, "/root/testdata/sf0.01")
+    assert train.count() > 0 and train.rdd.getNumPartitions() == 1
