@@ -1,8 +1,8 @@
 """Multiclass boosting with a softmax: trees whose leaves hold a value for each class.
 
 A level of a tree takes one pass over the rows. Tasks add up, for each node, input and bin,
-the gradients of all classes; Spark sums these histograms by slot, and the driver, which gets
-nodes x inputs x bins rows whatever the data, picks the splits. Rows never leave their tasks.
+the gradients of all classes; Spark adds these histograms up in a tree of tasks, and the driver,
+which gets nodes x inputs x bins sums whatever the data, picks the splits. Rows never leave their tasks.
 
 NULL and NaN are a bin of their own, the last. Classes without rows have probability 0; without
 any rows all classes are alike. Splits need LEAST_ROWS on both sides. Sums of floating numbers
@@ -17,9 +17,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .models import packed
+
 BINS, DEPTH, ROUNDS, RATE, L2, LEAST_ROWS = 32, 3, 40, 0.2, 3.0, 25
 CLASSES = 6
 
@@ -71,39 +74,34 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _binned(model: Boosted):
+    """A batch of rows as one row of three arrays: labels, weights and bins."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bins = model.bins(_matrix(batch.column(2), len(model.inputs)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([row.tobytes() for row in bins], pa.binary())], names=["label", "weight", "bins"])
+            found = (batch.column(0).to_numpy().astype(np.int32), batch.column(1).to_numpy().astype(float), bins)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in found], names=["label", "weight", "bins"])
 
     return run
 
 
-def _names(classes: int) -> list[str]:
-    return ["n", *[f"g{k}" for k in range(classes)], *[f"h{k}" for k in range(classes)]]
-
-
 def _histograms(model: Boosted, tree: Tree, level: int):
-    """Sums of rows, gradients and curvatures by slot, (node, input, bin) numbered through; a row a slot that is not empty."""
+    """Sums of rows, gradients and curvatures of the rows of a task: (stat, slot), (node, input, bin) numbered through."""
     width, classes = len(model.inputs), len(model.start)
-    shape = (2**level, width, BINS + 1)
+    slots = 2**level * width * (BINS + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((1 + 2 * classes, int(np.prod(shape))))
-        for batch in batches:
-            if not len(batch):
-                continue
-            bins = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, width).astype(int)
-            y, w = batch.column(0).to_numpy().astype(int), batch.column(1).to_numpy()[:, None]
+    def run(blocks: Iterator) -> Iterator[np.ndarray]:
+        total = np.zeros((1 + 2 * classes, slots))
+        for block in blocks:
+            y, w, bins = np.frombuffer(block[0], np.int32), np.frombuffer(block[1])[:, None], np.frombuffer(block[2], np.uint8).reshape(-1, width).astype(int)
             p = model.chances(bins)
             stats = np.hstack([np.ones_like(w), w * (p - np.eye(classes)[y]), w * p * (1 - p)])
             node = tree.leaves(bins, level)
             for k in range(width):
                 slot = (node * width + k) * (BINS + 1) + bins[:, k]
                 for s in range(stats.shape[1]):
-                    total[s] += np.bincount(slot, stats[:, s], total.shape[1])
-        used = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *[pa.array(t[used]) for t in total]], names=["slot", *_names(classes)])
+                    total[s] += np.bincount(slot, stats[:, s], slots)
+        yield total
 
     return run
 
@@ -129,13 +127,9 @@ def best_splits(sums: np.ndarray, l2: float, least: float) -> list[tuple[int, in
     return out
 
 
-def _level(rows: DataFrame, model: Boosted, tree: Tree, level: int) -> np.ndarray:
-    names = _names(len(model.start))
-    parts = rows.mapInArrow(_histograms(model, tree, level), "slot int, " + ", ".join(f"{n} double" for n in names))
-    found = parts.groupBy("slot").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
-    sums = np.zeros((len(names), 2**level * len(model.inputs) * (BINS + 1)))
-    sums[:, found.column("slot").to_numpy()] = [found.column(n).to_numpy() for n in names]
-    return sums.reshape(len(names), 2**level, len(model.inputs), BINS + 1)
+def _level(blocks: RDD, model: Boosted, tree: Tree, level: int) -> np.ndarray:
+    sums = blocks.mapPartitions(_histograms(model, tree, level)).treeReduce(np.add)
+    return sums.reshape(len(sums), 2**level, len(model.inputs), BINS + 1)
 
 
 def begun(train: DataFrame, inputs: tuple[str, ...], classes: int, depth: int) -> Boosted:
@@ -158,18 +152,21 @@ def fit(train: DataFrame, inputs: tuple[str, ...], classes: int = CLASSES, round
     names = tuple(f"x{k}" for k in range(len(inputs)))
     first = begun(own, names, classes, depth)
     model = Boosted(tuple(inputs), first.edges, first.start, depth)
-    rows = own.select("label", "weight", _vector(names).alias("x")).mapInArrow(_binned(model), "label int, weight double, bins binary").persist()
+    # Three passes a round, so no more tasks than the rows need, and a plain job for each.
+    rows = packed(own.select("label", "weight", _vector(names).alias("x")))
+    blocks = rows.mapInArrow(_binned(model), "label binary, weight binary, bins binary").rdd.map(tuple).persist()
     try:
         for _ in range(rounds if np.isinf(model.start).any() or model.start.any() else 0):
             tree = Tree(np.zeros(2**depth - 1, int), np.full(2**depth - 1, BINS), np.zeros((2**depth, classes)))
             for level in range(depth):
-                for node, (k, cut, a, b) in enumerate(best_splits(_level(rows, model, tree, level), l2, least)):
+                for node, (k, cut, a, b) in enumerate(best_splits(_level(blocks, model, tree, level), l2, least)):
                     at = 2**level - 1 + node
                     tree.feature[at], tree.cut[at] = k, cut
                     if level == depth - 1:
                         tree.values[2 * node], tree.values[2 * node + 1] = rate * a, rate * b
             model.trees.append(tree)
     finally:
+        blocks.unpersist()
         rows.unpersist()
     return model
 

@@ -69,6 +69,20 @@ def test_beats_persistence(spark):
     assert r["n"] > 0 and r["accuracy"] >= r["persistence"]
 
 
+def test_passes_start_no_more_tasks_than_the_rows_need(spark):
+    """Rows in 40 partitions, most of them as good as empty: only passes before the first tree start 40 tasks, none of the 12 for its levels."""
+    rows = rows_of(spark, 600).repartition(40)
+    sc = spark.sparkContext
+    sc.setJobGroup("few-tasks", "fit")
+    try:
+        bo.fit(rows, ("a", "b", "c"), rounds=4)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("few-tasks") for s in tracker.getJobInfo(j).stageIds}
+    assert sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i) < 40 * 8
+
+
 def test_training_rows_lie_in_few_partitions(spark):
     train, _ = model_plans.parts(spark, "/root/testdata/sf0.01")
     assert train.count() > 0 and train.rdd.getNumPartitions() == 1
