@@ -46,3 +46,16 @@ def test_journal_lines_that_are_broken_go(spark):
     lines = spark.createDataFrame([('{"entry": 1, "outcome": "went", "mood": "x"}',), ("",), ("{broken",), ('{"entry": 2}',)], "line string")
     got = [(r["entry"], r["outcome"], r["extra"]) for r in pl.journal_entries(lines).collect()]
     assert got == [("1", "went", '{"mood":"x"}'), ("2", None, None)]
+
+
+def test_published_numbers_cover_every_series(spark):
+    """One number for each series of the labelled hours, and texts without a language among the lengths."""
+    r = QUERIES["published_numbers"](spark, "/root/testdata/sf0.001").collect()
+    assert [(x["place"], x["numbers"], x["agree"]) for x in r] == [("table", 4, 4)]
+
+
+def test_published_lengths_keep_rows_without_a_language(spark, tmp_path):
+    rows = [(1, "abcd", "en", 4), (2, "ab", None, 2), (3, "abc", None, 9), (4, "a", "x|y", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["lang"]: (x["derived"], x["agrees"]) for x in QUERIES["published_lengths"](spark, str(tmp_path)).collect()}
+    assert got == {"en": (4.0, True), None: (2.5, False), "x|y": (1.0, True)}
